@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import neardup
+from fathomline.llm import knn, neardup
 from fathomline.storage import read
 
 
@@ -15,5 +15,10 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.pairs(rows, 3, 0.5).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of embeddings of different chunks, of which one is among the other's 5 most similar, with a cosine of at least 0.9."""
+    return knn.pairs(read(spark, root, "chunk_embeddings"), 5, 0.9).select(F.col("a").alias("embedding_a"), F.col("b").alias("embedding_b"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
