@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import knn, neardup
+from fathomline.llm import knn, leakage, neardup
 from fathomline.storage import read
 
 
@@ -20,5 +20,16 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return knn.pairs(read(spark, root, "chunk_embeddings"), 5, 0.9).select(F.col("a").alias("embedding_a"), F.col("b").alias("embedding_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold at least a third of the words, in runs of eight or more."""
+    return leakage.leaks(read(spark, root, "documents"), read(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, root: str) -> DataFrame:
+    """Each leaked item with its number of documents and the largest coverage, of the whole and of its question line."""
+    found = leakage.leaks(read(spark, root, "documents"), read(spark, root, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
