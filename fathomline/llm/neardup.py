@@ -1,11 +1,11 @@
 """Near-duplicate texts: exact set-similarity join over word n-grams, with a prefix tree.
 
 Each text is the set of its word n-grams, ordered by one global order, rarest first; read as strings over that order, the
-sets form a prefix tree. Two sets with a Jaccard similarity of at least t share at least ceil(t/(1+t)(a+b)) n-grams, so
-their first shared n-gram stands at depth r with r <= a - overlap in either: only that deep the tree is stored, spread
-over the cluster by n-gram. At each node (an n-gram, and who holds it at which depth) pairs whose remaining length can't
-reach the overlap are pruned. What is left is pruned by parity bitmaps (the Hamming distance of two bitmaps is at most the
-sets' symmetric difference), and verified by walking a tree of each text's partners, in which partners with a common
+sets form a prefix tree. Two sets with a Jaccard similarity of at least t share at least o = ceil(t/(1+t)(a+b)) n-grams, so
+that at least m of these stand at depths below a - o + m in the one and b - o + m in the other: only that deep the tree is
+stored, spread over the cluster by n-gram. At each node (an n-gram, and who holds it at which depth) pairs whose remaining
+length can't reach the overlap are pruned, and pairs that share fewer than m = MEET nodes in all are dropped (fewer than o,
+where o is less). What is left is verified by walking a tree of each text's partners, in which partners with a common
 prefix share the partial overlap and a branch ends once its remaining length can't reach the bound.
 
 Nothing is approximate but hash equality (48 bits an n-gram, 64 bits a text's class). Only the order comes from a sketch:
@@ -37,7 +37,10 @@ SLICES = 64
 DOCS = 256
 #: Postings a bucket of the tree should hold, and postings of one n-gram that one task pairs at once.
 BUCKET_ROWS, NODE_ROWS = 1_000_000, 4096
-BITMAP = 512
+#: Nodes that a pair has to share.
+MEET = 4
+#: Ids of texts to be verified are broadcast up to so many (40 bytes each), and joined by shuffling beyond.
+FEW_IDS = 1_000_000
 ID = (1 << 48) - 1
 _U = np.uint64
 
@@ -64,6 +67,16 @@ def least_count(levels: np.ndarray) -> np.ndarray:
     return np.where(x < 192, x, 192 * 2 ** ((x - 192) / 4))
 
 
+def gaps(cells: np.ndarray, number: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising cells as bytes of their distances, with cells that count nothing where a distance needs more than a byte."""
+    step = np.diff(cells, prepend=0)
+    fill = step // 255
+    at = np.arange(len(cells)) + np.cumsum(fill)
+    far, counts = np.full(len(cells) + int(fill.sum()), 255, np.uint8), np.zeros(len(cells) + int(fill.sum()), np.uint8)
+    far[at], counts[at] = step % 255, number
+    return far.tobytes(), counts.tobytes()
+
+
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column("text").to_pylist()
 
@@ -91,9 +104,9 @@ def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
         def out() -> Iterator[pa.RecordBatch]:
             cells, number = merged()
-            number = np.minimum(number, 65535).astype(np.uint16)
+            number = np.minimum(number, 255).astype(np.uint8)
             ends = np.searchsorted(cells, np.arange(SLICES + 1) << width)
-            rows = [(k, (cells[a:b] & ((1 << width) - 1)).astype(np.uint32).tobytes(), number[a:b].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            rows = [(k, *gaps(cells[a:b] & ((1 << width) - 1), number[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "cells", "number"])
 
         for batch in batches:
@@ -115,7 +128,7 @@ def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << width, np.uint32)
         for cells, number in zip(table.column("cells").to_pylist(), table.column("number").to_pylist(), strict=True):
-            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(number, np.uint16)
+            total[np.cumsum(np.frombuffer(cells, np.uint8), dtype=np.int64)] += np.frombuffer(number, np.uint8)
         return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "levels": pa.array([level(total).tobytes()], pa.binary())})
 
     parts = texts.select("text").mapInArrow(count, "slice int, cells binary, number binary")
@@ -154,20 +167,16 @@ def classes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def members(rows: DataFrame, n: int) -> DataFrame:
-    """(id, class, size, b0..b7) of every text of at least n words; rows has the columns id and text. b: parity bitmap."""
+    """(id, class, size) of every text of at least n words; rows has the columns id and text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             for first, elements, sizes in ordered_sets(_texts(batch), n, None):
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                bit = (mix(elements & _U(ID)) & _U(BITMAP - 1)).astype(np.int64)
-                parity = (np.bincount(doc * BITMAP + bit, minlength=len(sizes) * BITMAP) & 1).astype(np.uint8)
-                packed = np.packbits(parity).view(np.int64).reshape(len(sizes), -1)
                 some = np.flatnonzero(sizes > 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)).take(pa.array(some)), pa.array(classes(elements, sizes)[some]), pa.array(sizes[some].astype(np.int32)), *(pa.array(packed[some, k]) for k in range(8))], ["id", "class", "size", *(f"b{k}" for k in range(8))])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)).take(pa.array(some)), pa.array(classes(elements, sizes)[some]), pa.array(sizes[some].astype(np.int32))], ["id", "class", "size"])
 
-    return rows.select("id", "text").mapInArrow(describe, "id string, class long, size int, " + ", ".join(f"b{k} long" for k in range(8)))
+    return rows.select("id", "text").mapInArrow(describe, "id string, class long, size int")
 
 
 def nodes(texts: DataFrame, n: int, t: Fraction, levels, buckets: int) -> DataFrame:
@@ -197,7 +206,7 @@ def nodes(texts: DataFrame, n: int, t: Fraction, levels, buckets: int) -> DataFr
                 rank = np.arange(len(elements)) - np.repeat(starts, sizes)
                 length = np.repeat(sizes, sizes)
                 high = elements >> _U(48)
-                keep = np.flatnonzero((rank <= length - overlap(t, length, smallest_partner(t, length))) & (high > 1))
+                keep = np.flatnonzero((rank < length - overlap(t, length, smallest_partner(t, length)) + MEET) & (high > 1))
                 if not len(keep):
                     continue
                 token, rank, length, high = elements[keep] & _U(ID), rank[keep], length[keep], high[keep]
@@ -224,8 +233,8 @@ def nodes(texts: DataFrame, n: int, t: Fraction, levels, buckets: int) -> DataFr
     return texts.select("text").mapInArrow(post, "bucket int, low binary, high binary, doc binary, rank binary, names binary, sizes binary")
 
 
-def _met(table: pa.Table, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes that meet at a node and pass the bound on remaining lengths, some at a time."""
+def _met(table: pa.Table, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of classes that meet at a node and pass the bound on remaining lengths, and the nodes they need, some at a time."""
     token, rank, length, name = [], [], [], []
     for low, high, doc, r, names, sizes in zip(*(table.column(c).to_pylist() for c in ("low", "high", "doc", "rank", "names", "sizes")), strict=True):
         x = np.frombuffer(low, "<u4").astype(np.uint64)
@@ -251,27 +260,28 @@ def _met(table: pa.Table, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
         a, b = length[x], length[y]
         o = overlap(t, a.astype(np.int64), b.astype(np.int64))
-        ok = (rank[x] <= a - o) & (rank[y] <= b - o) & (name[x] != name[y])
+        ok = (rank[x] < a - o + MEET) & (rank[y] < b - o + MEET) & (name[x] != name[y])
         x, y = name[x[ok]], name[y[ok]]
-        yield np.minimum(x, y), np.maximum(x, y)
+        yield np.minimum(x, y), np.maximum(x, y), np.minimum(o[ok], MEET)
         at = to
 
 
 def candidates(tree: DataFrame, t: Fraction) -> DataFrame:
-    """Distinct pairs (c1, c2), c1 < c2, of classes that share a node and may be similar."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        for a, b in _met(table, t):
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) < 100_000 else np.stack([a, b], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c1", "c2"])
+    """Distinct pairs (c1, c2), c1 < c2, of classes that share enough nodes to be similar."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("met", pa.int64()), ("need", pa.int64())])
 
-    def whole(table: pa.Table) -> pa.Table:
-        out = list(meet(iter(table.to_batches())))
-        return pa.Table.from_batches(out, pa.schema([("c1", pa.int64()), ("c2", pa.int64())]))
+    def meet(table: pa.Table) -> pa.Table:
+        out = []
+        for a, b, need in _met(table, t):
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.arange(len(a)) == 0))
+            out.append(pa.table([pa.array(x) for x in (a[first], b[first], np.diff(np.append(first, len(a))), need[first])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    return tree.groupBy("bucket").applyInArrow(whole, "c1 long, c2 long").distinct()
+    # a pair in two of a split n-gram's blocks may be counted more than once, which drops nothing
+    met = tree.groupBy("bucket").applyInArrow(meet, "c1 long, c2 long, met long, need long")
+    return met.groupBy("c1", "c2").agg(F.sum("met").alias("met"), F.first("need").alias("need")).where(F.col("met") >= F.col("need")).select("c1", "c2")
 
 
 def _similar(own: np.ndarray, partners: list[tuple[int, np.ndarray]], t: Fraction) -> Iterator[tuple[int, int]]:
@@ -347,19 +357,14 @@ def similar_classes(rows: DataFrame, n: int, threshold: float) -> tuple[DataFram
     bits = min(MAX_BITS, max(16, (128 * count).bit_length()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64 * count // BUCKET_ROWS)
     levels = spark.sparkContext.broadcast(sketch(rows, n, bits))
-    who = stage(members(rows, n), "members")
-    reps = who.groupBy("class").agg(F.min("id").alias("id"), F.first("size").alias("size"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(8)))
-    met = candidates(nodes(rows, n, t, levels, buckets), t)
-    side = lambda k: reps.select(F.col("class").alias(f"c{k}"), F.col("id").alias(f"id{k}"), F.col("size").alias(f"size{k}"), *(F.col(f"b{x}").alias(f"b{x}_{k}") for x in range(8)))
-    both = met.join(side(1), "c1").join(side(2), "c2")
-    differ = sum((F.bit_count(F.col(f"b{x}_1").bitwiseXOR(F.col(f"b{x}_2"))) for x in range(8)), F.lit(0))
-    sizes = F.col("size1") + F.col("size2")
-    need = F.ceil(F.lit(t.numerator) * sizes / F.lit(t.numerator + t.denominator))
-    left = stage(both.where(differ <= sizes - 2 * need).select("c1", "c2", "id1", "id2"), "close")
-    ids = left.select(F.col("id1").alias("id")).unionByName(left.select(F.col("id2").alias("id"))).distinct()
+    who = stage(members(rows, n).distinct(), "members")
+    left = stage(candidates(nodes(rows, n, t, levels, buckets), t), "close")
+    close = left.select(F.col("c1").alias("class")).unionByName(left.select(F.col("c2").alias("class"))).distinct()
+    ids = stage(who.join(close, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id"), "ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     sets = element_sets(rows.join(ids, "id", "left_semi"), n, levels).dropDuplicates(["class"])
-    links = stage(verified(left.select("c1", "c2"), sets, t).select("c1", "c2"), "links")
-    return who.select("id", "class", "size").distinct(), links
+    links = stage(verified(left, sets, t).select("c1", "c2"), "links")
+    return who, links
 
 
 def pairs(rows: DataFrame, n: int, threshold: float) -> DataFrame:
