@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import knn, leakage, neardup
+from fathomline.llm import knn, leakage, neardup, transcripts
+from fathomline.functions.keys import uuid_key
 from fathomline.storage import read
 
 
+def _turns(spark: SparkSession, root: str) -> DataFrame:
+    rows = read(spark, root, "content_chunks").select("id", uuid_key(F.col("file_id")).alias("file"), F.col("chunk_text").alias("text"))
+    return transcripts.speaker_turns(rows).withColumnRenamed("id", "content_chunk_id")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """The turns of every transcript, with the number of each turn's speaker."""
+    return _turns(spark, root).select("content_chunk_id", "turn_no", "speaker_no")
+
+
+def p2_turns(spark: SparkSession, root: str) -> DataFrame:
+    """The turns with speaker, start and spoken words."""
+    return _turns(spark, root)
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of chunks whose sets of three-word sequences have a similarity of at least one half."""
     rows = read(spark, root, "content_chunks").select("id", F.col("chunk_text").alias("text"))
@@ -31,5 +47,5 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
