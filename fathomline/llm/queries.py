@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import knn, leakage, neardup, transcripts
+from fathomline.llm import boilerplate, knn, leakage, neardup, transcripts
 from fathomline.functions.keys import uuid_key
 from fathomline.storage import read
 
@@ -31,6 +31,20 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.pairs(rows, 3, 0.5).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def _pages(spark: SparkSession, root: str) -> DataFrame:
+    return boilerplate.pages(read(spark, root, "content_chunks"), read(spark, root, "files"), uuid_key)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """The numbers of the lines of each page's main body."""
+    return boilerplate.main_lines(_pages(spark, root)).select(F.col("id").alias("content_chunk_id"), "line_no")
+
+
+def p4_text(spark: SparkSession, root: str) -> DataFrame:
+    """The main body of each page as one text."""
+    return boilerplate.main_text(_pages(spark, root)).select(F.col("id").alias("content_chunk_id"), "text")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of embeddings of different chunks, of which one is among the other's 5 most similar, with a cosine of at least 0.9."""
     return knn.pairs(read(spark, root, "chunk_embeddings"), 5, 0.9).select(F.col("a").alias("embedding_a"), F.col("b").alias("embedding_b"))
@@ -47,5 +61,5 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
