@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import boilerplate, knn, leakage, neardup, transcripts
+from fathomline.llm import boilerplate, knn, leakage, mixing, neardup, splitting, transcripts
 from fathomline.functions.keys import uuid_key
 from fathomline.storage import read
 
 
+def _split(spark: SparkSession, root: str, only_oversized: bool) -> DataFrame:
+    rows = read(spark, root, "content_chunks").select("id", "tenant_id", F.col("chunk_text").alias("text"))
+    return splitting.split(rows, read(spark, root, "chunking_configs"), only_oversized)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that are larger than the size in force, which are those that come out in several pieces."""
+    return _split(spark, root, True).where("piece_no = 0").select(F.col("id").alias("content_chunk_id"))
+
+
+def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of all chunks, within the size in force for the tenant."""
+    return _split(spark, root, False).withColumnRenamed("id", "content_chunk_id")
+
+
 def _turns(spark: SparkSession, root: str) -> DataFrame:
     rows = read(spark, root, "content_chunks").select("id", uuid_key(F.col("file_id")).alias("file"), F.col("chunk_text").alias("text"))
     return transcripts.speaker_turns(rows).withColumnRenamed("id", "content_chunk_id")
@@ -61,5 +76,15 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    """How often each text is used in each mix."""
+    return mixing.mixed(read(spark, root, "documents"), read(spark, root, "source_targets"), mixing.public_vocabulary())[0]
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return mixing.mixed(read(spark, root, "documents"), read(spark, root, "source_targets"), mixing.public_vocabulary())[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
