@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import boilerplate, knn, leakage, mixing, neardup, splitting, transcripts
+from fathomline.llm import boilerplate, knn, leakage, mixing, moderation, neardup, splitting, transcripts
 from fathomline.functions.keys import uuid_key
 from fathomline.storage import read
 
@@ -86,5 +86,21 @@ def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(read(spark, root, "documents"), read(spark, root, "source_targets"), mixing.public_vocabulary())[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
+def _scores(spark: SparkSession, root: str) -> DataFrame:
+    return moderation.scored(read(spark, root, "documents"), moderation.fit(read(spark, root, "moderation_examples")))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents with an abusive, hateful or sexual passage."""
+    return _scores(spark, root).where(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Documents, cases, their rate and the mean score of each source."""
+    scores = _scores(spark, root).withColumn("source", F.coalesce(mixing.source_key(F.col("source")), F.lit("unknown")))
+    case = F.sum((F.col("score") >= moderation.THRESHOLD).cast("long"))
+    return scores.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), case.alias("n_cases"), (case / F.count(F.lit(1))).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
