@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry() -> list:
     """The modules that have QUERIES and ORACLES."""
-    from fathomline.plans import general
+    from fathomline.plans import general, lookups, search, texts, work
 
-    return [general]
+    return [search, lookups, texts, work, general]
