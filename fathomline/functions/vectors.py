@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +42,56 @@ def mismatch(a: Column, b: Column) -> Column:
         .when(F.size(a["embedding"]) != F.size(b["embedding"]), "dimension")
         .when(~is_usable(a["embedding"]) | ~is_usable(b["embedding"]), "norm")
     )
+
+
+def matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a batch's usable vectors of that length, and the vectors as rows of length one."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(sizes == dimension)
+    flat = column.take(pa.array(at)).flatten()
+    x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension)  # nulls become NaN
+    size = np.sqrt(np.einsum("ij,ij->i", x, x))
+    ok = np.isfinite(size) & (size > 0)
+    return at[ok], x[ok] / size[ok, None]
+
+
+def scored(df: DataFrame, vector: str, query: list[float]) -> DataFrame:
+    """df without the column vector, with similarity: the cosine with query of the rows whose vector is usable and as long.
+
+    One matrix product a batch: lambda functions over arrays are interpreted number by number.
+    """
+    kept = [c for c in df.columns if c != vector]
+    q = np.asarray(query, np.float64)
+    q = q / np.sqrt(q @ q)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = matrix(batch.column(vector), len(q))
+            rows = batch.select(kept).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.einsum("ij,j->i", x, q))], [*kept, "similarity"])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    return df.mapInArrow(score, f"{schema}, similarity double")
+
+
+def best_of(df: DataFrame, key: str, vector: str, queries: list[tuple[object, list[float]]], k: int, key_type: str) -> DataFrame:
+    """(query, key, similarity): of each batch the k best rows for each query, ties by key: a partial top-k before any shuffle."""
+    by_size: dict[int, list[tuple[object, np.ndarray]]] = {}
+    for name, v in queries:
+        x = np.asarray(v, np.float64)
+        by_size.setdefault(len(x), []).append((name, x / np.sqrt(x @ x)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key)
+            for dimension, asked in by_size.items():
+                at, x = matrix(batch.column(vector), dimension)
+                if not len(at):
+                    continue
+                scores = np.stack([np.einsum("ij,j->i", x, q) for _, q in asked])
+                for (name, _), s in zip(asked, scores, strict=True):
+                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0
+                    best = np.flatnonzero(s >= cut)  # with all ties of the k-th
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), keys.type), keys.take(pa.array(at[best])), pa.array(s[best])], ["query_id", key, "similarity"])
+
+    return df.select(key, vector).mapInArrow(search, f"query_id {key_type}, `{key}` {key_type}, similarity double")

@@ -39,9 +39,11 @@ def word_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), text: str
     """
     c = config.checked()
     stride = c.size - c.overlap
-    rows = docs.withColumn("_words", T.words(T.sanitize(F.col(text)))).where(F.size("_words") > 0)
+    # blank texts have no windows; a filter on the words would be pushed down and split every text twice
+    rows = docs.where(F.col(text).isNotNull()).withColumn("_words", T.words(T.sanitize(F.col(text))))
     last = F.greatest(F.lit(0), F.ceil((F.size("_words") - c.size) / F.lit(stride)).cast("int"))
-    some = rows.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
+    starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), last))
+    some = rows.withColumn("chunk_index", F.explode(starts))
     window = F.slice("_words", F.col("chunk_index") * stride + 1, F.lit(c.size))
     out = some.withColumn("_window", window).withColumn("chunk_text", F.array_join("_window", " ")).withColumn("token_count", F.size("_window"))
     kept = out.where(F.octet_length(T.strip(F.col("chunk_text"))) >= c.least_bytes)

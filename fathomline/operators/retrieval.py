@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import vectors as V
+from fathomline.storage import spread
 
 #: What a threshold that isn't given stands for: any cosine.
 ANY = -1.0
+#: Queries of one batch: they are sent to every task.
+MOST_QUERIES = 10_000
 
 
 def check_limit(limit: int) -> int:
@@ -23,15 +26,13 @@ def check_limit(limit: int) -> int:
 
 
 def scores(embeddings: DataFrame, query: list[float], threshold: float | None = None) -> DataFrame:
-    """(id, content_chunk_id, similarity) of the usable embeddings from the threshold on, which is a 4-byte number."""
+    """(id, content_chunk_id, similarity) of the usable embeddings from the threshold on, which is a 4-byte number.
+
+    Embeddings that are delivered again count once: they are dropped after scoring, when no vector has to be moved.
+    """
     least = F.lit(ANY if threshold is None else threshold).cast("float").cast("double")
-    q = V.literal(query)
-    ok = F.col("content_chunk_id").isNotNull() & V.is_usable(F.col("embedding")) & (F.size("embedding") == len(query))
-    size = sum(float(x) ** 2 for x in query) ** 0.5
-    # the score is computed once, above the filter, and the query's norm on the driver
-    score = V.dot(F.col("embedding"), q) / (V.norm(F.col("embedding")) * F.lit(size))
-    found = embeddings.where(ok).select("id", "content_chunk_id", score.alias("similarity"))
-    return found.where(F.col("similarity") >= least)
+    rows = spread(embeddings.where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
+    return V.scored(rows, "embedding", query).where(F.col("similarity") >= least).dropDuplicates(["id"])
 
 
 def similarity_search(embeddings: DataFrame, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
@@ -42,23 +43,24 @@ def similarity_search(embeddings: DataFrame, query: list[float], limit: int = 10
 def search_in_file(embeddings: DataFrame, chunks: DataFrame, file: str, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
     """The limit best hits among a file's chunks."""
     own = chunks.where(F.col("file_id") == file).select(F.col("id").alias("content_chunk_id")).distinct()
-    return similarity_search(embeddings.join(own, "content_chunk_id", "left_semi"), query, limit, threshold)
+    return scores(embeddings, query, threshold).join(own, "content_chunk_id", "left_semi").orderBy(F.desc("similarity"), "id").limit(check_limit(limit))
 
 
 def batch_search(embeddings: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, rank, id, similarity): the limit best hits of each query (query_id, vector).
+    """(query_id, rank, id, similarity): the limit best hits of each query (query_id, vector), of which there are at most MOST_QUERIES.
 
-    Queries are a stated set and are met by all embeddings block by block: a bounded number of them are in each task's
-    plan, and each task keeps only limit rows per query before the shuffle.
+    The stated queries go to all embeddings, block by block; each batch keeps its limit best rows a query, and only these
+    are shuffled.
     """
     check_limit(limit)
-    asked = queries.where(V.is_usable(F.col("vector"))).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    usable = embeddings.where(V.is_usable(F.col("embedding"))).select("id", "embedding")
-    # one row holds all queries: it is broadcast, and its size is the caller's list of queries
-    pairs = usable.join(F.broadcast(asked)).select("id", "embedding", F.explode("asked").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "id", V.cosine(F.col("embedding"), F.col("q.vector")).alias("similarity")).where(F.col("similarity").isNotNull())
+    asked = queries.where(V.is_usable(F.col("vector"))).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search in parts")
+    kind = embeddings.schema["id"].dataType.simpleString()
+    rows = spread(embeddings.where(F.col("embedding").isNotNull()).select("id", "embedding"))
+    best = V.best_of(rows, "id", "embedding", [(r["query_id"], r["vector"]) for r in asked], limit, kind).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def nested_assets(assets: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _vector(e: DataFrame) -> list[float]:
 
 
 def _hits(spark: SparkSession, root: str, limit: int, threshold: float | None = None) -> DataFrame:
-    e = P.embeddings(spark, root)
+    e = P.raw_embeddings(spark, root)
     return R.similarity_search(e, _vector(e), limit, threshold)
 
 
@@ -48,14 +48,14 @@ def similarity_topk(spark: SparkSession, root: str) -> DataFrame:
 @query(sql("e", f"{_Q} SELECT id, content_chunk_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3::FLOAT::DOUBLE"))
 def similarity_threshold(spark: SparkSession, root: str) -> DataFrame:
     """All hits from a threshold on."""
-    e = P.embeddings(spark, root)
+    e = P.raw_embeddings(spark, root)
     return R.scores(e, _vector(e), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(sql("ce", f"{_Q}, b AS (SELECT s.*, c.file_id FROM s JOIN c ON c.id = s.content_chunk_id WHERE c.file_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY similarity DESC, id) AS r FROM b) SELECT file_id, id, round(similarity, 6) AS similarity FROM r WHERE r = 1"))
 def similarity_by_file(spark: SparkSession, root: str) -> DataFrame:
     """The best hit of every file."""
-    e = P.embeddings(spark, root)
+    e = P.raw_embeddings(spark, root)
     c = P.table(spark, root, "content_chunks").where(F.col("file_id").isNotNull()).select(F.col("id").alias("content_chunk_id"), "file_id")
     rows = R.scores(e, _vector(e)).join(c, "content_chunk_id")
     best = rows.groupBy("file_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), F.col("id"))).alias("b"))

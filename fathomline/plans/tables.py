@@ -28,6 +28,11 @@ def embeddings(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunk_embeddings").withColumn("content_chunk_id", dashed(uuid_key(F.col("content_chunk_id"))))
 
 
+def raw_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    """The same with re-delivered rows, for operators that drop these themselves."""
+    return read(spark, root, "chunk_embeddings").withColumn("content_chunk_id", dashed(uuid_key(F.col("content_chunk_id"))))
+
+
 def jobs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "processing_jobs").withColumn("file_id", dashed(uuid_key(F.col("file_id"))))
 

@@ -16,7 +16,7 @@ from fathomline.operators.embedding import HashProvider, embedded
 from fathomline.plans import tables as P
 from fathomline.plans.tables import sql
 from fathomline.sources import extract as X
-from fathomline.storage import read
+from fathomline.storage import read, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ SELECT doc_id, chunk_index, token_count, sha256(chunk_text) AS digest FROM y WHE
 
 
 def _chunks(spark: SparkSession, root: str, config: C.ChunkConfig) -> DataFrame:
-    docs = read(spark, root, "documents").select("doc_id", "text")
+    docs = spread(read(spark, root, "documents").select("doc_id", "text"))
     return C.word_chunks(docs, config).select("doc_id", "chunk_index", "token_count", T.sha256(F.col("chunk_text")).alias("digest"))
 
 
@@ -76,7 +76,7 @@ def chunk_words_capped(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH d AS (SELECT doc_id, len({_w('text')})::INT AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n AS n_words, n AS n_covered FROM d WHERE n > 0")
 def chunk_coverage(spark: SparkSession, root: str) -> DataFrame:
     """Words that the windows of a document cover: all of them, when no window is dropped."""
-    docs = read(spark, root, "documents").select("doc_id", "text")
+    docs = spread(read(spark, root, "documents").select("doc_id", "text"))
     rows = C.word_chunks(docs, C.ChunkConfig(200, 50, None, 0)).groupBy("doc_id", "text").agg(F.max(F.col("chunk_index") * 150 + F.col("token_count")).alias("n_covered"))
     return rows.select("doc_id", T.word_count(T.sanitize(F.col("text"))).alias("n_words"), "n_covered")
 
@@ -199,7 +199,7 @@ def status_transition_matrix(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def split_recursive(spark: SparkSession, root: str) -> DataFrame:
-    docs = read(spark, root, "documents").select("doc_id", "text")
+    docs = spread(read(spark, root, "documents").select("doc_id", "text"))
     return C.recursive_chunks(docs, 2000).select("doc_id", "chunk_index", "token_count", "chunk_text")
 
 

@@ -28,3 +28,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few files for work that costs more than moving its rows: in as many partitions as the cluster has cores.
+
+    Scans that already have as many partitions stay as they are, so that a large table is never shuffled by this. Only for
+    scans with projections and filters: asking a plan with joins for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
