@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathomline.llm.wordhash import sequences, words
+from fathomline.storage import spread
 
 RUN = 8
 K1, B = 1.2, 0.75
@@ -162,5 +163,5 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -> DataF
                 doc, *rest = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), *[pa.float64()] * 3), strict=True))], ["doc_id", "item_id", "score", "coverage", "question_coverage"])
 
-    found = documents.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(search, "doc_id long, item_id long, score double, coverage double, question_coverage double")
+    found = spread(documents.selectExpr("cast(doc_id AS long) AS doc_id", "text")).mapInArrow(search, "doc_id long, item_id long, score double, coverage double, question_coverage double")
     return found.dropDuplicates(["doc_id", "item_id"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.storage import stage
+from fathomline.storage import spread, stage
 
 SEED = 17
 #: Texts are tokenised in parts of so many characters at most, cut before white space.
@@ -74,7 +74,7 @@ def counted(documents: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("text_hash"), pa.array(n, pa.int64())], ["doc_id", "source", "text_hash", "tokens"])
 
     rows = documents.where(F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), F.sha2("text", 256).alias("text_hash"), "text")
-    return rows.mapInArrow(count, "doc_id long, source string, text_hash string, tokens long")
+    return spread(rows).mapInArrow(count, "doc_id long, source string, text_hash string, tokens long")
 
 
 def texts(found: DataFrame) -> DataFrame:

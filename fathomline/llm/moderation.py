@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.storage import spread
+
 MOST_EXAMPLES = 20_000
 TREES, DEPTH, RATE, LEAST_LEAF, FOLDS = 80, 3, 0.15, 3, 5
 #: The calibrated probability from which a text counts as a case.
 THRESHOLD = 0.5
-#: Words of the longest sentence that is one passage, and of a window of a longer one.
-LONGEST, WINDOW = 24, 16
+#: Words of the longest sentence that is one passage; in longer ones, of the longest entry that is looked for, and around a hit.
+LONGEST, REACH, AROUND = 24, 5, 8
 
 # Lexicons in English, Spanish, French and German, lower case, without accents. A blank separates words, commas entries.
 LEXICONS = {
@@ -68,7 +70,7 @@ ausgerottet, ausrotten, raus mit, vernichten, verdienen es nicht, zu leben, gott
 tetas, follar, follame, folla, desnudas, desnuda, sin censura, sexo duro, con la boca, se desnudo, maduras, chicas desnudas, polla, cono, orgasmo, cachonda, cachondas, toda la noche, videos porno, muslos, pezones, gemia, chupar, mamada,
 seins, filles nues, nues, sans censure, dans sa bouche, se deshabilla, baiser toute, baiser, bite, chatte, orgasme, cuisses, gemit, sexe hard, coquines, sucer, femmes mures, chaudes, salopes,
 titten, ficken, nackten, nackte, nackten frauen, unzensiert, in den mund, zog sich aus, harter sex, geile, geil, muschi, schwanz, orgasmus, stohnte, blasen, reifen frauen, ruf an, schenkel, bruste""",
-    "about": """guide, guidelines, moderation, rules, word, words, insults, says that, explains, was called, were called, called a, reporter, historians, describe how, describes, propaganda, posters, museum, scholarly, leaflet, clinic, screening, health, training, harassment, policy, policies, process, worker, pointer, bug, terminal, farm, crew, patients, removed, article, study, court, news, police, report, restart, job, panel, dust, dry air, vase, figures, archive, ferry, sailed, cancer, medical, morning, quoted, definition, dictionary,
+    "about": """guide, guidelines, moderation, rules, word, words, insults, says that, explains, was called, were called, called a, reporter, historians, describe how, describes, propaganda, posters, museum, scholarly, leaflet, clinic, screening, health, training, harassment, policy, policies, process, worker, pointer, bug, terminal, farm, crew, patients, removed, study, court, news, police, dry air, vase, cancer, medical, morning, quoted, definition, dictionary,
 guia, moderacion, insultos, borran, salud, taller, explica, proceso, reinicie, reiniciar, museo, historiadores, folleto, se anuncia, palabra,
 mot, mots, retire, explique, sante, brochure, processus, relancez, musee, historiens, decrit,
 regeln, worter, geloscht, erklaren, gesundheit, broschure, kindprozess, neu starten, prozess, museum, historiker, leitfaden""",
@@ -89,7 +91,7 @@ _LONG = re.compile(r"(?<![a-z])(?=[a-z]*?([a-z])\1\1)[a-z]+")
 _OTHER = re.compile("[^a-z]+")
 _BLANKS = {c: " " for c in range(128) if not 97 <= c <= 122}
 _FOREIGN = re.compile("[\u0370-\u052f]")
-_PASSAGES = re.compile(r"(?<=[.!?…])\s+|[\n\r]+")
+_PASSAGES = re.compile(r"(?<=[.!?…])\s+|[\n\r]+|\s+(?:lol|haha)\s+(?=[A-ZÀ-Þ¿¡])|(?<=[\U0001f300-\U0001faff])\s+")
 _EMOJI = re.compile("[\U0001f300-\U0001faff☀-➿]")
 
 
@@ -240,14 +242,21 @@ def parts_with_hits(text: str) -> list[tuple[str, np.ndarray]]:
 
 
 def passages(text: str) -> list[str]:
-    """Sentences and lines; long ones without a stop as windows that overlap by half, so that a hit isn't diluted."""
+    """Sentences and lines; of long ones without a stop, what lies around the hits, so that a hit is neither diluted nor cut from what is said of it."""
     out = []
     for p in _PASSAGES.split(text):
         words = p.split()
         if len(words) <= LONGEST:
             out += [p] if words else []
-        else:
-            out += [" ".join(words[at : at + WINDOW]) for at in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+            continue
+        spans: list[list[int]] = []
+        for at in range(len(words)):
+            if hit(restored(" ".join(words[at : at + REACH]))[0]) and (at + REACH >= len(words) or not hit(restored(" ".join(words[at + 1 : at + REACH + 1]))[0]) or hit(restored(words[at])[0])):
+                if spans and at <= spans[-1][1] + AROUND:
+                    spans[-1][1] = at + 1
+                else:
+                    spans.append([at, at + 1])
+        out += [" ".join(words[max(0, a - AROUND) : b + AROUND]) for a, b in spans]
     return out
 
 
@@ -286,34 +295,32 @@ class Tree:
         return np.array(self.value)[at]
 
 
-def grow(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> Tree:
-    """The tree that fits the gradients best, by second-order gain."""
+def grow(x: np.ndarray, order: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> Tree:
+    """The tree that fits the gradients best, by second-order gain. order: the rows by each feature, one row a feature."""
     tree = Tree([], [], [], [], [])
+    n_features = x.shape[1]
 
-    def node(rows: np.ndarray, depth: int) -> int:
-        k = len(tree.feature)
-        g, h = gradient[rows].sum(), weight[rows].sum()
+    def node(inside: np.ndarray, depth: int) -> int:
+        k, m = len(tree.feature), int(inside.sum())
+        g, h = gradient[inside].sum(), weight[inside].sum()
         for column, v in zip((tree.feature, tree.cut, tree.left, tree.right, tree.value), (-1, 0.0, -1, -1, g / (h + 1)), strict=True):
             column.append(v)
-        best = (1e-6, -1, 0.0)
-        if depth < DEPTH and len(rows) >= 2 * LEAST_LEAF:
-            for f in range(x.shape[1]):
-                order = np.argsort(x[rows, f], kind="stable")
-                v = x[rows[order], f]
-                gs, hs = np.cumsum(gradient[rows[order]])[:-1], np.cumsum(weight[rows[order]])[:-1]
-                gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
-                n = np.arange(1, len(rows))
-                gain[(v[1:] <= v[:-1]) | (n < LEAST_LEAF) | (len(rows) - n < LEAST_LEAF)] = -1
-                at = int(np.argmax(gain))
-                if gain[at] > best[0]:
-                    best = (gain[at], f, (v[at] + v[at + 1]) / 2)
-        if best[1] >= 0:
-            go = x[rows, best[1]] <= best[2]
-            tree.feature[k], tree.cut[k] = best[1], best[2]
-            tree.left[k], tree.right[k] = node(rows[go], depth + 1), node(rows[~go], depth + 1)
+        if depth < DEPTH and m >= 2 * LEAST_LEAF:
+            rows = order[inside[order]].reshape(n_features, m)
+            v = x[rows, np.arange(n_features)[:, None]]
+            gs, hs = np.cumsum(gradient[rows], 1)[:, :-1], np.cumsum(weight[rows], 1)[:, :-1]
+            gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
+            n = np.arange(1, m)
+            gain[(v[:, 1:] <= v[:, :-1]) | (n < LEAST_LEAF) | (m - n < LEAST_LEAF)] = -1
+            f, at = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if gain[f, at] > 1e-6:
+                cut = float((v[f, at] + v[f, at + 1]) / 2)
+                go = x[:, f] <= cut
+                tree.feature[k], tree.cut[k] = int(f), cut
+                tree.left[k], tree.right[k] = node(inside & go, depth + 1), node(inside & ~go, depth + 1)
         return k
 
-    node(np.arange(len(x)), 0)
+    node(np.ones(len(x), bool), 0)
     return tree
 
 
@@ -321,9 +328,10 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
     mean = float(np.clip(y.mean(), 0.01, 0.99))
     start = float(np.log(mean / (1 - mean)))
     score, trees = np.full(len(y), start), []
+    order = np.argsort(x, 0, kind="stable").T
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        trees.append(grow(x, y - p, p * (1 - p)))
+        trees.append(grow(x, order, y - p, p * (1 - p)))
         score += RATE * trees[-1].predict(x)
     return start, trees
 
@@ -399,4 +407,4 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(p), pa.array([x for _, x in found], pa.string())], ["doc_id", "source", "score", "passage"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return rows.mapInArrow(score, "doc_id long, source string, score double, passage string").dropDuplicates(["doc_id"])
+    return spread(rows).mapInArrow(score, "doc_id long, source string, score double, passage string").dropDuplicates(["doc_id"])

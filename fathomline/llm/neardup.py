@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.wordhash import mix, sequences, words
-from fathomline.storage import stage
+from fathomline.storage import spread, stage
 
 #: The sketch that orders the n-grams has at most 2**MAX_BITS cells of a byte; that is what is broadcast at most.
 MAX_BITS = 25
@@ -351,7 +351,7 @@ def similar_classes(rows: DataFrame, n: int, threshold: float) -> tuple[DataFram
     rows has the columns id and text.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    rows = rows.select("id", "text").where(F.col("text").isNotNull())
+    rows = spread(rows.select("id", "text").where(F.col("text").isNotNull()))
     spark = rows.sparkSession
     count = rows.count()
     bits = min(MAX_BITS, max(16, (128 * count).bit_length()))

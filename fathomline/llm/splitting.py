@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators.skew import left_join
+from fathomline.storage import spread
 
 #: Size and overlap where there is no valid default row either.
 SIZE, OVERLAP = 578, 102
@@ -115,7 +116,7 @@ def split(chunks: DataFrame, configs: DataFrame, only_oversized: bool = False) -
     default = force.where(F.col("tenant_id").isNull() & F.col("size").isNotNull()).first()
     base = (default["size"], default["overlap"]) if default else (SIZE, OVERLAP)
     own = force.where(F.col("tenant_id").isNotNull() & F.col("size").isNotNull())
-    rows = chunks.select("id", "tenant_id", "text").where(F.col("text").isNotNull())
+    rows = spread(chunks.select("id", "tenant_id", "text").where(F.col("text").isNotNull()))
     if own.count() <= FEW_TENANTS:
         held = spark.sparkContext.broadcast({r["tenant_id"]: (r["size"], r["overlap"]) for r in own.collect()})
         rows = rows.withColumn("size", F.lit(None).cast("int")).withColumn("overlap", F.lit(None).cast("int"))
