@@ -8,7 +8,7 @@ item's threshold is the least score of any document that covers enough of it, so
 retrieved is verified on word positions: the share of the item's words that lie in runs of at least RUN words which also
 occur consecutively in the document, for the item as a whole and for its question line apart.
 
-Cases: null and blank texts leak nothing; items of fewer than RUN words can't leak; equal items and equal documents are
+Cases: null and blank texts and rows without an id leak nothing; items of fewer than RUN words can't leak; equal items and equal documents are
 reported each; an empty table gives an empty result. Repeated rows of one id and text are reported once. Extra columns are
 ignored. Texts of any length are read whole.
 """
@@ -163,5 +163,5 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -> DataF
                 doc, *rest = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), *[pa.float64()] * 3), strict=True))], ["doc_id", "item_id", "score", "coverage", "question_coverage"])
 
-    found = spread(documents.selectExpr("cast(doc_id AS long) AS doc_id", "text")).mapInArrow(search, "doc_id long, item_id long, score double, coverage double, question_coverage double")
+    found = spread(documents.selectExpr("cast(doc_id AS long) AS doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")).mapInArrow(search, "doc_id long, item_id long, score double, coverage double, question_coverage double")
     return found.dropDuplicates(["doc_id", "item_id"])

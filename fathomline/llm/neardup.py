@@ -12,7 +12,7 @@ Nothing is approximate but hash equality (48 bits an n-gram, 64 bits a text's cl
 occurrence counts of hashed n-grams in a table of at most 2**MAX_BITS cells of one byte, summed over all texts. Any global
 order gives the same result; a rarer-first one is merely faster, and a cell that counts one proves an n-gram unique.
 
-Cases: null and blank texts, and texts of fewer than n words, are in no pair. Re-delivered rows (same id) count once.
+Cases: null and blank texts, rows without an id, and texts of fewer than n words are in no pair. Re-delivered rows (same id) count once.
 Equal sets are one class and are joined once, whatever their number. Very long texts are hashed in blocks. Empty tables
 give empty results, extra columns are ignored.
 """
@@ -351,7 +351,7 @@ def similar_classes(rows: DataFrame, n: int, threshold: float) -> tuple[DataFram
     rows has the columns id and text.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    rows = spread(rows.select("id", "text").where(F.col("text").isNotNull()))
+    rows = spread(rows.select("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
     spark = rows.sparkSession
     count = rows.count()
     bits = min(MAX_BITS, max(16, (128 * count).bit_length()))

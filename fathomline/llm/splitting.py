@@ -6,7 +6,7 @@ over the strengths answers in constant time which boundary of a window is the st
 piece ends at the strongest boundary of its permissible window, and the next one starts overlap words before that end.
 
 Nothing is lost: a piece holds the text from its first word to the first word after it, so that the pieces without their
-overlaps, one after another, are the text. Cases: null texts give no rows; texts within the size, blank ones included, are
+overlaps, one after another, are the text. Cases: null texts and rows without an id give no rows; texts within the size, blank ones included, are
 one piece; a word of any length is never cut. The configuration is the tenant's row with the latest update; if there is none
 or it isn't valid (size below 1, overlap not below size or negative, minimum above size, nulls), the default row's. Rows
 repeated under one id count once. Extra columns are ignored.
@@ -116,7 +116,7 @@ def split(chunks: DataFrame, configs: DataFrame, only_oversized: bool = False) -
     default = force.where(F.col("tenant_id").isNull() & F.col("size").isNotNull()).first()
     base = (default["size"], default["overlap"]) if default else (SIZE, OVERLAP)
     own = force.where(F.col("tenant_id").isNotNull() & F.col("size").isNotNull())
-    rows = spread(chunks.select("id", "tenant_id", "text").where(F.col("text").isNotNull()))
+    rows = spread(chunks.select("id", "tenant_id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
     if own.count() <= FEW_TENANTS:
         held = spark.sparkContext.broadcast({r["tenant_id"]: (r["size"], r["overlap"]) for r in own.collect()})
         rows = rows.withColumn("size", F.lit(None).cast("int")).withColumn("overlap", F.lit(None).cast("int"))
