@@ -74,24 +74,33 @@ def scored(df: DataFrame, vector: str, query: list[float]) -> DataFrame:
     return df.mapInArrow(score, f"{schema}, similarity double")
 
 
-def best_of(df: DataFrame, key: str, vector: str, queries: list[tuple[object, list[float]]], k: int, key_type: str) -> DataFrame:
-    """(query, key, similarity): of each batch the k best rows for each query, ties by key: a partial top-k before any shuffle."""
+def best_of(df: DataFrame, key: str, vector: str, queries: list[tuple[object, list[float]]], k: int, keep: tuple[str, ...] = (), query_type: str = "string") -> DataFrame:
+    """(query_id, key, *keep, similarity): of each batch the k best keys for each query, all ties of the k-th included.
+
+    A partial top-k before any shuffle. A key that comes again in a batch counts once; one that comes again in another
+    batch has the same score, so that the best k of what is left, without repeated keys, are the best k of all.
+    """
     by_size: dict[int, list[tuple[object, np.ndarray]]] = {}
     for name, v in queries:
         x = np.asarray(v, np.float64)
         by_size.setdefault(len(x), []).append((name, x / np.sqrt(x @ x)))
+    kept = [key, *keep]
+    names = pa.int64() if query_type in ("long", "bigint") else pa.int32() if query_type in ("int", "integer") else pa.string()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(key)
             for dimension, asked in by_size.items():
                 at, x = matrix(batch.column(vector), dimension)
                 if not len(at):
                     continue
-                scores = np.stack([np.einsum("ij,j->i", x, q) for _, q in asked])
-                for (name, _), s in zip(asked, scores, strict=True):
-                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0
-                    best = np.flatnonzero(s >= cut)  # with all ties of the k-th
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), keys.type), keys.take(pa.array(at[best])), pa.array(s[best])], ["query_id", key, "similarity"])
-
-    return df.select(key, vector).mapInArrow(search, f"query_id {key_type}, `{key}` {key_type}, similarity double")
+                codes = batch.column(key).take(pa.array(at)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                _, first = np.unique(codes, return_index=True)
+                at, x = at[first], x[first]
+                for name, q in asked:
+                    s = np.einsum("ij,j->i", x, q)
+                    best = np.flatnonzero(s >= (np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0))
+                    rows = batch.select(kept).take(pa.array(at[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), names), *rows.columns, pa.array(s[best])], ["query_id", *kept, "similarity"])
+
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
+    return df.select(*kept, vector).mapInArrow(search, f"query_id {query_type}, {types}, similarity double")

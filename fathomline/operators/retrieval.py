@@ -17,6 +17,8 @@ from fathomline.storage import spread
 ANY = -1.0
 #: Queries of one batch: they are sent to every task.
 MOST_QUERIES = 10_000
+#: Hits that are grouped at once.
+MOST_HITS = 1000
 
 
 def check_limit(limit: int) -> int:
@@ -36,8 +38,12 @@ def scores(embeddings: DataFrame, query: list[float], threshold: float | None =
 
 
 def similarity_search(embeddings: DataFrame, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
-    """The limit best hits."""
-    return scores(embeddings, query, threshold).orderBy(F.desc("similarity"), "id").limit(check_limit(limit))
+    """(id, content_chunk_id, similarity) of the limit best hits. Each batch keeps its best before anything is shuffled."""
+    check_limit(limit)
+    least = F.lit(ANY if threshold is None else threshold).cast("float").cast("double")
+    rows = spread(embeddings.where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
+    best = V.best_of(rows, "id", "embedding", [("q", query)], limit, ("content_chunk_id",)).drop("query_id").dropDuplicates(["id"])
+    return best.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
 def search_in_file(embeddings: DataFrame, chunks: DataFrame, file: str, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
@@ -56,9 +62,9 @@ def batch_search(embeddings: DataFrame, queries: DataFrame, limit: int = 5) -> D
     asked = queries.where(V.is_usable(F.col("vector"))).limit(MOST_QUERIES + 1).collect()
     if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries: search in parts")
-    kind = embeddings.schema["id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType.simpleString()
     rows = spread(embeddings.where(F.col("embedding").isNotNull()).select("id", "embedding"))
-    best = V.best_of(rows, "id", "embedding", [(r["query_id"], r["vector"]) for r in asked], limit, kind).distinct()
+    best = V.best_of(rows, "id", "embedding", [(r["query_id"], r["vector"]) for r in asked], limit, (), kind).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -73,26 +79,27 @@ def hydrate_and_group(hits: DataFrame, chunks: DataFrame, files: DataFrame, asse
     """(position, file_id, file_name, n_matches, best_similarity, matches, assets) of the documents that have hits.
 
     Documents come in the order of their first hit, and matches in the order of hits; both are carried as ranks. hits is a
-    top-k result, so that the joins meet few rows on that side.
+    top-k result of at most MOST_HITS rows: it becomes a list of ids, which reaches the scans of chunks, files and assets
+    as a filter. Rows of these tables that are delivered again count once.
     """
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))
-    text = chunks.select(F.col("id").alias("content_chunk_id"), "file_id", "chunk_index", "chunk_text")
-    named = files.select(F.col("id").alias("file_id"), "file_name")
-    rows = ranked.drop("id").join(text, "content_chunk_id").join(named, "file_id")
+    top = hits.orderBy(F.desc("similarity"), "id").limit(MOST_HITS + 1).collect()
+    if len(top) > MOST_HITS:
+        raise ValueError(f"more than {MOST_HITS} hits: hits must be a top-k result")
+    spark = hits.sparkSession
+    ranked = spark.createDataFrame([(k, r["content_chunk_id"], r["similarity"]) for k, r in enumerate(top, 1)], "rank int, content_chunk_id string, similarity double")
+    text = chunks.where(F.col("id").isin(*{r["content_chunk_id"] for r in top})).select(F.col("id").alias("content_chunk_id"), "file_id", "chunk_index", "chunk_text").dropDuplicates(["content_chunk_id"])
+    owners = [r["file_id"] for r in text.select("file_id").distinct().collect()]  # no more than there are hits
+    own = lambda c: F.col(c).isin(*(x for x in owners if x is not None))
+    named = files.where(own("id")).select(F.col("id").alias("file_id"), "file_name").dropDuplicates(["file_id"])
+    rows = text.join(F.broadcast(ranked), "content_chunk_id").join(named, "file_id")
     match = F.struct("rank", "content_chunk_id", "chunk_index", "similarity", "chunk_text")
     grouped = rows.groupBy("file_id", "file_name").agg(F.array_sort(F.collect_list(match)).alias("matches"), F.min("rank").alias("first"), F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("best_similarity"))
     out = grouped.withColumn("position", F.row_number().over(Window.orderBy("first")))
     if assets is not None:
-        wanted = assets.join(F.broadcast(hits_files(grouped)), "file_id", "left_semi")
-        out = out.join(nested_assets(wanted), "file_id", "left")
+        out = out.join(nested_assets(assets.where(own("file_id")).dropDuplicates(["id"])), "file_id", "left")
     return out.drop("first")
 
 
-def hits_files(grouped: DataFrame) -> DataFrame:
-    """The ids of the documents: no more than the search's limit."""
-    return grouped.select("file_id")
-
-
 def tally(documents: DataFrame) -> DataFrame:
     """total_documents and total_chunk_matches of a grouped result."""
     return documents.agg(F.count(F.lit(1)).alias("total_documents"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("total_chunk_matches"))

@@ -14,6 +14,7 @@ from fathomline.operators import relational as R
 from fathomline.operators import retrieval
 from fathomline.plans import tables as P
 from fathomline.plans.tables import sql, sql_time
+from fathomline.storage import read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,8 +40,8 @@ _T0 = "(SELECT min(tenant_id) FROM f)"
 
 @query(sql("f", f" SELECT id, file_name, file_type, file_size, status, {sql_time('created_at')} AS created, {sql_time('updated_at')} AS updated FROM f WHERE tenant_id = {_T0} ORDER BY f.created_at DESC NULLS FIRST, id LIMIT 20 OFFSET 5"))
 def file_list_page(spark: SparkSession, root: str) -> DataFrame:
-    f = P.files(spark, root)
-    page = R.file_page(f, least(f, "tenant_id"), 5, 20)
+    tenant = least(read(spark, root, "files"), "tenant_id")
+    page = R.file_page(P.files(spark, root, F.col("tenant_id") == tenant), tenant, 5, 20)
     return page.select("id", "file_name", "file_type", "file_size", "status", times.rfc3339(F.col("created_at")).alias("created"), times.rfc3339(F.col("updated_at")).alias("updated"))
 
 
@@ -57,8 +58,8 @@ def file_detail(spark: SparkSession, root: str) -> DataFrame:
 
 @query(sql("f", " SELECT id, file_name FROM f WHERE id = (SELECT min(id) FROM f)"))
 def file_by_id(spark: SparkSession, root: str) -> DataFrame:
-    f = P.files(spark, root)
-    return R.by_id(f, None, least(f, "id")).select("id", "file_name")
+    key = least(read(spark, root, "files"), "id")
+    return R.by_id(P.files(spark, root, F.col("id") == key), None, key).select("id", "file_name")
 
 
 @query(sql("fj", " SELECT f.id, f.file_name, f.status FROM f WHERE f.id IN (SELECT file_id FROM j WHERE job_type ILIKE 'youtube_extraction')"))
@@ -112,9 +113,9 @@ def embedding_delete_by_file(spark: SparkSession, root: str) -> DataFrame:
 
 @query(sql("c", " SELECT id, chunk_index, chunk_text FROM c WHERE file_id = (SELECT min(file_id) FROM c) ORDER BY chunk_index NULLS LAST, id LIMIT 100"))
 def chunk_page(spark: SparkSession, root: str) -> DataFrame:
-    c = P.table(spark, root, "content_chunks")
-    file = least(c, "file_id")
-    tenant = c.where(F.col("file_id") == file).agg(F.min("tenant_id").alias("t")).first()["t"]
+    file = least(read(spark, root, "content_chunks"), "file_id")
+    c = P.table(spark, root, "content_chunks", F.col("file_id") == file)
+    tenant = least(c, "tenant_id")
     return R.chunk_page(c, tenant, file, 0, 500).select("id", "chunk_index", "chunk_text")
 
 
@@ -209,8 +210,6 @@ def revoke_api_key(spark: SparkSession, root: str) -> DataFrame:
 
 @query(sql("k", ", u AS (SELECT (o_custkey)::VARCHAR AS key_id, max(o_orderdate) AS used FROM orders GROUP BY 1) SELECT k.id, strftime(u.used, '%Y-%m-%d') AS last_used FROM k LEFT JOIN u ON u.key_id = k.id"))
 def last_used_at(spark: SparkSession, root: str) -> DataFrame:
-    from fathomline.storage import read
-
     uses = read(spark, root, "orders").select(F.col("o_custkey").cast("string").alias("key_id"), F.col("o_orderdate").cast("timestamp").alias("used_at"))
     return R.last_used(P.api_keys(spark, root), uses).select("id", F.date_format("last_used_at", "yyyy-MM-dd").alias("last_used"))
 

@@ -75,7 +75,7 @@ _GROUPED = f"{_Q}, h AS (SELECT *, row_number() OVER (ORDER BY similarity DESC,
 @query(sql("cefa", f"{_GROUPED} SELECT row_number() OVER (ORDER BY first)::INT AS position, g.file_id, file_name, n_matches, round(best, 6) AS best_similarity, chunks, coalesce(n_assets, 0) AS n_assets FROM g LEFT JOIN (SELECT file_id, count(*) AS n_assets FROM a GROUP BY file_id) x ON x.file_id = g.file_id"))
 def search_grouped_documents(spark: SparkSession, root: str) -> DataFrame:
     """Search, hits joined with chunks, files and assets, grouped by document in order of the first hit."""
-    d = R.hydrate_and_group(_hits(spark, root, 50), P.table(spark, root, "content_chunks"), P.files(spark, root), P.assets(spark, root))
+    d = R.hydrate_and_group(_hits(spark, root, 50), read(spark, root, "content_chunks"), read(spark, root, "files"), P.raw_assets(spark, root))
     return d.select("position", "file_id", "file_name", "n_matches", F.round("best_similarity", 6).alias("best_similarity"), F.array_join(F.transform("matches", lambda m: m["content_chunk_id"]), ",").alias("chunks"), F.coalesce(F.size("assets"), F.lit(0)).cast("bigint").alias("n_assets"))
 
 
@@ -83,13 +83,13 @@ def search_grouped_documents(spark: SparkSession, root: str) -> DataFrame:
 def search_orphan_hits_dropped(spark: SparkSession, root: str) -> DataFrame:
     """Hits whose chunk or file is missing don't count."""
     hits = _hits(spark, root, 50)
-    d = R.hydrate_and_group(hits, P.table(spark, root, "content_chunks"), P.files(spark, root))
+    d = R.hydrate_and_group(hits, read(spark, root, "content_chunks"), read(spark, root, "files"))
     return R.tally(d).join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("n_hits"))))
 
 
 @query(sql("cef", f"{_GROUPED} SELECT 't' AS tenant_id, 'words' AS query_text, coalesce(sum(n_matches), 0)::INT AS results_count FROM g"))
 def audit_insert(spark: SparkSession, root: str) -> DataFrame:
-    d = R.hydrate_and_group(_hits(spark, root, 50), P.table(spark, root, "content_chunks"), P.files(spark, root))
+    d = R.hydrate_and_group(_hits(spark, root, 50), read(spark, root, "content_chunks"), read(spark, root, "files"))
     return R.audit_row(d, "t", "words", F.timestamp_micros(F.lit(1705276800000000))).select("tenant_id", "query_text", "results_count")
 
 

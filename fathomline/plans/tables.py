@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import status as S
@@ -11,12 +11,14 @@ from fathomline.operators.relational import current
 from fathomline.storage import read
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return current(read(spark, root, name))
+def table(spark: SparkSession, root: str, name: str, where: Column | None = None) -> DataFrame:
+    """A table's rows for which a condition holds. It is put below the deduplication, so that it reaches the scan."""
+    rows = read(spark, root, name)
+    return current(rows if where is None else rows.where(where))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "files").withColumn("status", S.normal(F.col("processing_status")))
+def files(spark: SparkSession, root: str, where: Column | None = None) -> DataFrame:
+    return table(spark, root, "files", where).withColumn("status", S.normal(F.col("processing_status")))
 
 
 def tenants(spark: SparkSession, root: str) -> DataFrame:
@@ -37,6 +39,10 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "processing_jobs").withColumn("file_id", dashed(uuid_key(F.col("file_id"))))
 
 
+def raw_assets(spark: SparkSession, root: str) -> DataFrame:
+    return read(spark, root, "file_assets").withColumn("file_id", dashed(uuid_key(F.col("file_id"))))
+
+
 def assets(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "file_assets").withColumn("file_id", dashed(uuid_key(F.col("file_id"))))
 

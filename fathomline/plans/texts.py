@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,12 +218,11 @@ def extract_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every document's text wrapped as HTML, Word, PowerPoint or text by turns, and extracted again."""
     from fathomline.sources.formats.office import _W
 
-    @F.udf("binary")
-    def wrap(n: int, text: str | None) -> bytes | None:
-        from xml.sax.saxutils import escape
+    @F.pandas_udf("binary")
+    def wrap(numbers: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else wrapped(int(n), t) for n, t in zip(numbers, texts, strict=True)])
 
-        if text is None:
-            return None
+    def wrapped(n: int, text: str) -> bytes:
         clean = escape("".join(c for c in text if c >= " " or c == "\n"))
         paragraphs = clean.split("\n")
         if n % 4 == 0:
