@@ -2,8 +2,8 @@
 
 Vectors are compared by cosine within a group (model, version and length). Each vector is put into the CELLS nearest of the
 cells of its group; a cell is the neighbourhood of a centre, and centres are a hash sample of the vectors themselves, so
-that dense regions get more of them. Two vectors meet if they share a cell. In a cell, residuals to the centre are rotated
-and kept as one bit a dimension with two correction scalars; from packed bits, inner products are estimated with an error
+that dense regions get more of them. Two vectors meet if they share a cell. In a cell, residuals to its mean are rotated and
+kept as one bit a dimension with two correction scalars; from packed bits, inner products are estimated with an error
 bound, and only vectors whose upper bound reaches the threshold and the k-th best so far are compared exactly.
 
 Bounds: the centres of all groups together are at most MAX_CENTRES, and are what is broadcast. A cell that holds more
@@ -33,6 +33,8 @@ CELL_ROWS, CELLS, MAX_CENTRES = 400, 3, 65_536
 CELL_MOST = 8192
 #: Standard errors of an estimate that the bound allows for.
 ERRORS = 3.5
+#: What is added to an estimate for the rounding of queries to four bits; distance to a centre below which bounds mean nothing.
+SLACK, NEAR = 0.02, 1e-4
 SEED = 20240229
 
 
@@ -93,25 +95,29 @@ class Codes:
             packed.append(np.ascontiguousarray(np.pad(p, ((0, 0), (0, -p.shape[1] % 8)))).view(np.uint64))
         return np.stack(packed), step, low
 
-    def upper(self, rows: slice, planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Upper bounds of the cosines of these rows, as queries, with all rows."""
-        packed, step, low = planes
-        n, d = len(self.bits), self.d
-        dot = np.zeros((rows.stop - rows.start, n), np.int32)
-        for k in range(4):
-            for w in range(self.bits.shape[1]):
-                dot += np.bitwise_count(packed[k, rows, w][:, None] & self.bits[None, :, w]).astype(np.int32) << k
-        ones = np.bitwise_count(self.bits).sum(1, dtype=np.int32)
-        q_sum = step[rows] * self._levels(packed, rows) + d * low[rows]
-        # <q, sign> = 2 <q, bits> - sum(q)
-        signed = 2 * (step[rows, None] * dot + low[rows, None] * ones[None, :]) - q_sum[:, None]
-        inner = signed / math.sqrt(d) / self.scale + ERRORS * self.error + 0.02
-        a, b = self.norm[rows, None], self.norm[None, :]
-        # |o - q|^2 = |o - c|^2 + |q - c|^2 - 2 |o - c| |q - c| inner; for unit vectors the cosine is 1 - |o - q|^2 / 2
-        return 1 - (a * a + b * b - 2 * a * b * np.minimum(inner, 1)) / 2
+    def reaching(self, rows: slice, planes: tuple[np.ndarray, np.ndarray, np.ndarray], least: float) -> np.ndarray:
+        """For these rows, as queries, which rows have an upper bound of the cosine of at least least.
 
-    def _levels(self, packed: np.ndarray, rows: slice) -> np.ndarray:
-        return sum(np.bitwise_count(packed[k, rows]).sum(1, dtype=np.int64) << k for k in range(4))
+        With a = |q - c| and b = |o - c|, cos = 1 - (a a + b b - 2 a b inner) / 2, so that the bound holds from some inner
+        product on, and, as the estimate is linear in the popcount of q's levels under o's bits, from some popcount on.
+        That popcount is a sum of five products of a number of q and a number of o: one matrix product of depth five.
+        """
+        packed, step, low = planes
+        d = self.d
+        step, low, a, b = step[rows], low[rows], np.maximum(self.norm[rows], 1e-9), np.maximum(self.norm, 1e-9)
+        levels = sum(np.bitwise_count(packed[k, rows]).sum(1, dtype=np.int64) << k for k in range(4))
+        q_sum = step * levels + d * low
+        half = math.sqrt(d) * self.scale / 2
+        left = np.stack([(a * a - 2 * (1 - least)) / (2 * a), 1 / (2 * a), np.ones_like(a), q_sum / 2, -low]) / step
+        right = np.stack([half / b, half * b, -half * (ERRORS * self.error + SLACK), np.ones_like(b), np.bitwise_count(self.bits).sum(1, dtype=np.int64)])
+        need = left.T.astype(np.float32) @ right.astype(np.float32)
+        dot = np.zeros(need.shape, np.uint16)
+        for w in range(self.bits.shape[1]):
+            bits = self.bits[None, :, w]
+            under = lambda k: np.bitwise_count(packed[k, rows, w][:, None] & bits)  # noqa: E731, B023
+            # counts of a word are at most 64, so that three times that fits a byte
+            dot += (under(0) + (under(1) << 1)).astype(np.uint16) + ((under(2) + (under(3) << 1)).astype(np.uint16) << 2)
+        return (dot >= need) | (a < NEAR)[:, None] | (b < NEAR)[None, :]
 
 
 def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,7 +130,7 @@ def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, least
     height = max(1, 2_000_000 // len(x))
     for at in range(0, len(x), height):
         rows = slice(at, min(at + height, len(x)))
-        q, o = np.nonzero(codes.upper(rows, planes) >= least - 1e-6)
+        q, o = np.nonzero(codes.reaching(rows, planes, least - 1e-6))
         q += at
         differ = (q != o) & ((own[q] != own[o]) | (own[q] == 0))
         q, o = q[differ], o[differ]
@@ -200,13 +206,12 @@ def nearest(distinct: DataFrame, k: int, least: float) -> DataFrame:
     distinct: (grp, vid, own, vector) with different vectors in a group; own: their only chunk, 0 for several.
     """
     found = centres(distinct)
-    held = distinct.sparkSession.sparkContext.broadcast(found)
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         x = matrix(table.column("vector"))
-        c = held.value.get(key[0].as_py())
-        centre = np.zeros(x.shape[1], np.float32) if c is None else c[key[1].as_py()]
         vid = table.column("vid").to_numpy()
+        # codes are of residuals to the cell's mean, so that unrelated vectors of a cell have inner products about 0
+        centre = x.mean(0) if len(x) > 2 else np.zeros(x.shape[1], np.float32)
         parts = list(neighbours(x, centre, table.column("own").to_numpy(), k, least))
         q, o, cosine = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"vid": vid[q], "other": vid[o], "cosine": cosine})

@@ -52,11 +52,15 @@ def test_large_cells_are_split_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in K.pairs(df, 5, 0.9).collect()} == brute(rows, 5, 0.9)
 
 
-def test_upper_bounds_hold():
-    x = clusters(300, 64, 5).astype("f4")
-    codes = K.Codes(x, x[0])
-    upper = codes.upper(slice(0, len(x)), codes.planes())
-    assert (upper >= x @ x.T - 1e-4).mean() > 0.999
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+@pytest.mark.parametrize("d", [64, 100])
+def test_bounds_lose_nothing(least, d):
+    x = clusters(300, d, 5).astype("f4")
+    codes = K.Codes(x, x.mean(0))
+    reached = codes.reaching(slice(0, len(x)), codes.planes(), least)
+    near = x @ x.T >= least
+    assert reached[near].mean() > 0.999
+    assert least < 0.9 or reached.mean() < 0.1
 
 
 def test_edges(spark):
