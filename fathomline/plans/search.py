@@ -31,8 +31,14 @@ _Q = f", q AS (SELECT embedding::DOUBLE[] AS v FROM e WHERE {_OK} AND len(embedd
 
 
 def _vector(e: DataFrame) -> list[float]:
-    row = e.where(V.is_usable(F.col("embedding")) & (F.size("embedding") == 64)).orderBy("id").select("embedding").first()
-    return list(row["embedding"])
+    """The query vector of these queries: the usable one of the smallest id."""
+    rows = e.where(F.size("embedding") == 64).select("id", "embedding")
+    usable = V.is_usable(F.col("embedding"))
+    # a top-k of ids first: the test of every number of every vector is needed only if none of these is usable
+    for some in (rows.orderBy("id").limit(64), rows):
+        if row := some.where(usable).orderBy("id").select("embedding").first():
+            return list(row["embedding"])
+    raise ValueError("no usable vector")
 
 
 def _hits(spark: SparkSession, root: str, limit: int, threshold: float | None = None) -> DataFrame:

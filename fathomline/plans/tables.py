@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import status as S
-from fathomline.functions.keys import uuid_key
+from fathomline.functions.keys import dashed, uuid_key
 from fathomline.operators.relational import current
 from fathomline.storage import read
 
@@ -47,10 +47,6 @@ def assets(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "file_assets").withColumn("file_id", dashed(uuid_key(F.col("file_id"))))
 
 
-def dashed(key):
-    return F.when(key.isNotNull(), F.concat_ws("-", F.substring(key, 1, 8), F.substring(key, 9, 4), F.substring(key, 13, 4), F.substring(key, 17, 4), F.substring(key, 21, 12)))
-
-
 def api_keys(spark: SparkSession, root: str) -> DataFrame:
     """Stand-ins made from customers: keys of nations as tenants."""
     c = read(spark, root, "customer")
