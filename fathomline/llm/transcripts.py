@@ -14,11 +14,13 @@ Texts of any length are read whole, line by line. Extra columns are ignored; a n
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import permutations
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,9 @@ animateur animatrice invité invitée modérateur modératrice intervieweur clie
 gastgeber gastgeberin gast leiter leiterin moderatorin anrufer anruferin kunde kundin sprecher sprecherin interviewerin""".split()
 TITLES = "dr prof mr mrs ms miss sr sra srta dra herr frau hr fr m mme mlle".split()
 
+#: What it costs to give a label a name that another has: more than names can differ.
+TAKEN = 2.0
+
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u00ad\u200b-\u200f\u2060\ufeff]")
 _HESITATION = "|".join(sorted(HESITATIONS, key=len, reverse=True))
 _NOTE = re.compile(r"\[[^\]]*\]|\(\([^()]*\)\)|\([^()]*\)|\{[^}]*\}|<[^>]*>|\*[^*]+\*|[♪♫]")
@@ -128,9 +133,10 @@ def fits(part: Name, full: Name) -> bool:
     return part.last == full.last or bool(part.first) and part.first == full.first
 
 
+@lru_cache(65_536)
 def phonetic(word: str) -> str:
     """A sound key: the first letter and the consonants after it, with like sounds joined and repeats dropped."""
-    alike = str.maketrans("cqgzvwdbyáéíóúäöüàèêëïîôûùñç", "kkkssfftpiaeiouaouaeeeiiouunk".ljust(28, "a")[:28])
+    alike = str.maketrans("cqgzvwdbyáéíóúäöüàèêëïîôûùñç", "kkksfftpiaeiouaouaeeeiiouunk")
     w = word.translate(alike)
     out = w[:1]
     for c in w[1:]:
@@ -139,6 +145,58 @@ def phonetic(word: str) -> str:
     return out
 
 
+def edits(a: str, b: str) -> int:
+    """The edit distance of two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def distance(part: Name, full: Name) -> float:
+    """0 if part fits full as written; the share of letters that differ if it sounds like it; else infinite.
+
+    A sound key of one letter (Leo, Lea) doesn't tell names apart and joins nothing.
+    """
+    if fits(part, full):
+        return 0.0
+    if part.key.startswith("=") or part.start and not full.first.startswith(part.start):
+        return math.inf
+    words = [(part.last, full.last)] + ([(part.first, full.first)] if part.first and not part.start else [])
+    return min((edits(a, b) / max(len(a), len(b)) for a, b in words if len(phonetic(a)) > 1 and phonetic(a) == phonetic(b)), default=math.inf)
+
+
+def assign(cost: np.ndarray) -> list[int]:
+    """Each row's column in the assignment of least cost (Hungarian method). There are at least as many columns as rows."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    row_of, way = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while row_of[j]:
+            used[j] = True
+            reduced = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], way[1:][better] = reduced[better], j
+            after = int(np.argmin(np.where(used, np.inf, least)))
+            step = least[after]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j = after
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = int(way[j])
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
 def _split_label(text: str, strict: bool) -> tuple[str | None, str]:
     """The label in front of an utterance, if there is one, and the rest."""
     if m := _VOICE.match(text):
@@ -302,20 +360,17 @@ def resolve(labels: list[str], roster: list[str]) -> dict[str, str]:
     parts = {n.key: n for n in names.values() if n.kind == "part"}
     known = {n.key: n for r in roster if (n := normal(r)) and n.kind == "full"}
     out: dict[str, str] = {}
-    open_parts: list[tuple[str, list[str]]] = []
+    open_parts: list[tuple[str, dict[str, float]]] = []
     for key, n in parts.items():
-        found = [f for f, full in fulls.items() if fits(n, full)] or [f for f, full in known.items() if fits(n, full)]
+        found = {f: 0.0 for f, full in fulls.items() if fits(n, full)} or {f: 0.0 for f, full in known.items() if fits(n, full)}
+        for some in (fulls, known):  # as written before like-sounding
+            found = found or {f: d for f, full in some.items() if (d := distance(n, full)) < math.inf}
         if len(found) == 1:
-            out[key] = found[0]
+            out[key] = next(iter(found))
         elif found:
             open_parts.append((key, found))
-    if open_parts:  # each ambiguous label to one name, a name that no other label has taken before one that has
-        few, rest = open_parts[:5], open_parts[5:]
-        pool = sorted({f for _, found in few for f in found})
-        taken = set(out.values())
-        best = min(_choices(few, pool), key=lambda c: (sum(f not in found for f, (_, found) in zip(c, few, strict=True)), sum(f in taken for f in c), c))
-        out |= {key: f if f in found else found[0] for f, (key, found) in zip(best, few, strict=True)}
-        out |= {key: found[0] for key, found in rest}
+    if open_parts:
+        out |= _chosen(open_parts, set(out.values()))
     left = [n for key, n in parts.items() if key not in out]
     for n in sorted(left, key=lambda n: (not n.start, n.key)):  # parts among themselves: one surname, one speaker
         like = next((out[m.key] for m in left if m.key in out and m.last and m.last == n.last), None)
@@ -323,11 +378,23 @@ def resolve(labels: list[str], roster: list[str]) -> dict[str, str]:
     return {x: out.get(n.key, n.key) if n.kind == "part" else n.key for x, n in names.items()}
 
 
-def _choices(few: list[tuple[str, list[str]]], pool: list[str]) -> Iterator[tuple[str, ...]]:
-    if len(pool) >= len(few) and len(pool) <= 6:
-        yield from permutations(pool, len(few))
-    else:
-        yield tuple(found[0] for _, found in few)
+def _chosen(open_parts: list[tuple[str, dict[str, float]]], taken: set[str]) -> dict[str, str]:
+    """Each ambiguous label's name: the assignment of least cost, a name that no other label has taken before one that has.
+
+    Each label has a column of its own besides the names': the name of its least cost, shared with other labels.
+    """
+    pool = sorted({f for _, found in open_parts for f in found})
+    place = {f: j for j, f in enumerate(pool)}
+    n, m = len(open_parts), len(pool)
+    never = 8.0 * (n + 1)
+    cost = np.full((n, m + n), never)
+    for i, (_, found) in enumerate(open_parts):
+        tie = 1e-3 * (n - i) / (n * n * m)  # equal costs: the first label has the first name
+        for f, d in found.items():
+            cost[i, place[f]] = d + TAKEN * (f in taken) + tie * place[f]
+        cost[i, m + i] = min(d + TAKEN + tie * place[f] for f, d in found.items()) + tie * m
+    least = lambda found: min(found, key=lambda f: (found[f], f))
+    return {key: pool[j] if j < m else least(found) for j, (key, found) in zip(assign(cost), open_parts, strict=True)}
 
 
 def turns(utterances: list[Utterance], roster: list[str]) -> list[tuple[int, int, str | None, float, str]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+import numpy as np
 import pytest
 
 from fathomline.llm import transcripts as T
@@ -51,6 +54,35 @@ def test_names():
     assert T.resolve(["Ann", "Dr. Bell"], ["ann bell"]) == {"Ann": "ann bell", "Dr. Bell": "ann bell"}
 
 
+def test_like_sounding_names():
+    assert T.phonetic("meyer") == T.phonetic("maier") and T.phonetic("bauer") != T.phonetic("dauer")
+    assert T.resolve(["Dr. Maier"], ["ann meyer", "carl dorn"]) == {"Dr. Maier": "ann meyer"}
+    assert T.resolve(["Lea", "Leo Dorn"], []) == {"Lea": "lea", "Leo Dorn": "leo dorn"}
+
+
+def test_assignment_of_any_size():
+    many = ["zoe", "yan", "xenia", "wim", "vera", "uwe", "tom"]
+    roster = [f"{a} {b}" for a in many for b in ("bell", "dorn")]
+    labels = [f"{a[0].upper()}. {b}" for a in many for b in ("Bell", "Dorn")]
+    bell, dorn = (sorted(r for r in roster if r.endswith(x)) for x in ("bell", "dorn"))
+    got = T.resolve(["Dr. Bell", *many, "Dr. Dorn"], roster)
+    assert len(set(got.values())) == 9 and got["Dr. Bell"] in bell and got["Dr. Dorn"] in dorn
+    assert all(got[a].startswith(f"{a} ") for a in many)
+    assert T.resolve(labels, roster) == {x: next(r for r in roster if r[0] == x[0].lower() and r.endswith(x[3:].lower())) for x in labels}
+    got = T.resolve(["Ann", "Dr. Bell", "A. Bell"], ["ann bell", "alice bell"])  # fewer names than labels
+    assert got["Ann"] == "ann bell" and {got["Dr. Bell"], got["A. Bell"]} <= {"ann bell", "alice bell"}
+
+
+def test_assignment_is_of_least_cost():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 1), (2, 3), (4, 4), (4, 6)):
+        for _ in range(20):
+            cost = rng.random((n, m)).round(1)
+            got = T.assign(cost)
+            assert len(set(got)) == n
+            assert abs(sum(cost[range(n), got]) - min(sum(cost[range(n), p]) for p in permutations(range(m), n))) < 1e-9
+
+
 @pytest.mark.parametrize(
     "text",
     [None, "", " \n ", "2024-01-01 10:00:00 host: started the job\n2024-01-01 10:00:05 host: stopped the job", "08:00  Breakfast is served in the hall.\n08:15  Doors open to all the guests.", "Librarian: With this a term is defined at length.\nBatch: Some other term is defined here, too.\nCache: A third one is defined after that.", "A title: short\n\nA page of prose that says: nothing is spoken here at all.", "Your privacy matters: we and our partners process data (22)\nHome\nBlog"],
