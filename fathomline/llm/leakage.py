@@ -4,7 +4,8 @@ The index holds the evaluation items, whose number is bounded and checked; the c
 neither shuffled nor sampled. Terms are runs of RUN consecutive words, so that a posting means text in common, and an
 item's score is BM25's sum over the terms that a document holds. Documents are queried one by one: cursors over the
 postings of the document's terms, upper bounds a block, and a pivot that skips items which can't reach their threshold. An
-item's threshold is the least score of any document that covers enough of it, so nothing that counts is lost. What is
+item's threshold is a lower bound of the score of any document that covers enough of it: the words needed, times the least
+impact of a term for each word that its occurrences in the item can cover. So nothing that counts is lost. What is
 retrieved is verified on word positions: the share of the item's words that lie in runs of at least RUN words which also
 occur consecutively in the document, for the item as a whole and for its question line apart.
 
@@ -63,11 +64,12 @@ def build(ids: list[int], texts: list[str | None], share: float) -> Index:
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     norm = K1 * (1 - B + B * counts[item] / mean)
     impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
-    least = np.full(n, np.inf)
+    least, a_word = np.full(n, np.inf), np.full(n, np.inf)
     np.minimum.at(least, item, impact)
-    # at least that many words in runs; one term covers RUN words at most
-    needed = np.ceil(np.ceil(counts * share - 1e-9) / RUN)
-    return Index(np.asarray(ids, np.int64), counts, terms, np.append(starts, len(item)), item, impact, np.maximum(1, needed) * least * (1 - 1e-9), runs, before)
+    # a term that occurs tf times in an item covers at most RUN * tf of its words, and scores once
+    np.minimum.at(a_word, item, impact / (RUN * tf))
+    needed = np.maximum(1, np.ceil(counts * share - 1e-9))
+    return Index(np.asarray(ids, np.int64), counts, terms, np.append(starts, len(item)), item, impact, np.maximum(least, needed * a_word) * (1 - 1e-9), runs, before)
 
 
 class Cursor:

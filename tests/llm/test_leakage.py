@@ -46,6 +46,16 @@ def test_equals_brute_force(spark):
     assert all(0 < r["coverage"] <= 1 and 0 <= r["question_coverage"] <= 1 for r in got)
 
 
+def test_items_that_repeat_a_run(spark):
+    refrain = " ".join(f"r{k}" for k in range(8))
+    item = " ".join(f"{refrain} " + " ".join(f"v{k}w{j}" for j in range(12)) for k in range(10))
+    others = [(k, " ".join(f"o{k}w{j}" for j in range(60))) for k in range(2, 12)]
+    documents = [(1, f"before {refrain} after"), (2, "none of it " * 9), (3, others[0][1])]
+    items = [(1, item), *others]
+    got = L.leaks(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute(documents, items) == {(1, 1), (3, 2)}
+
+
 def test_edges(spark):
     passage = "one two three four five six seven eight nine ten"
     docs = [(1, passage.upper().replace(" ", " -- ")), (2, None), (3, ""), (4, "one two three four five six seven"), (1, passage), (5, "x " * 100_000 + passage)]
