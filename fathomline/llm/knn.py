@@ -120,11 +120,35 @@ class Codes:
         return (dot >= need) | (a < NEAR)[:, None] | (b < NEAR)[None, :]
 
 
-def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, other, cosine) of each row's up to k best others with a cosine of at least least.
+def chosen(q: np.ndarray, theirs: np.ndarray, cosine: np.ndarray, k: int, each: int) -> np.ndarray:
+    """Which of the links are among each query's k best, of which each chunk (theirs) counts at most each times; ties are kept."""
+    order = np.lexsort((-cosine, theirs, q))
+    a, t, c = q[order], theirs[order], cosine[order]
+    first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(t, prepend=-1) != 0))
+    size = np.diff(np.append(first, len(a)))
+    counted = np.arange(len(a)) - np.repeat(first, size) < each
+    kept = counted | (c >= np.repeat(c[np.minimum(first + each, first + size) - 1], size))
+    again = np.lexsort((-c, a))
+    a, c = a[again], c[again]
+    first = np.flatnonzero(np.diff(a, prepend=-1))
+    size = np.diff(np.append(first, len(a)))
+    so_far = np.cumsum(counted[again])
+    so_far -= np.repeat(so_far[first] - counted[again][first], size)
+    last = np.full(len(first), -np.inf)
+    at_k = np.flatnonzero(counted[again] & (so_far == k))
+    last[np.searchsorted(first, at_k, "right") - 1] = c[at_k]
+    out = np.zeros(len(q), bool)
+    out[order[again]] = kept[again] & (c >= np.repeat(last, size))
+    return out
+
+
+def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, each: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, other, cosine) of each row's up to k best others with a cosine of at least least, each chunk's counted at most each times.
 
     own: a name of the only chunk that a vector belongs to, 0 for several; vectors of one chunk don't meet.
     """
+    theirs = np.unique(own, return_inverse=True)[1]
+    theirs = np.where(own == 0, len(x) + np.arange(len(x)), theirs)
     codes = Codes(x, centre)
     planes = codes.planes()
     height = max(1, 2_000_000 // len(x))
@@ -139,13 +163,7 @@ def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, least
             cosine[i : i + 500_000] = np.einsum("ij,ij->i", x[q[i : i + 500_000]], x[o[i : i + 500_000]])
         good = cosine >= least - 1e-6
         q, o, cosine = q[good], o[good], cosine[good]
-        order = np.lexsort((o, -cosine, q))
-        q, o, cosine = q[order], o[order], cosine[order]
-        first = np.flatnonzero(np.diff(q, prepend=-1))
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        ends = np.append(first, len(q))[1:]
-        last = np.repeat(cosine[np.minimum(first + k, ends) - 1], ends - first)
-        best = (rank < k) | (cosine >= last)  # ties with the k-th are kept
+        best = chosen(q, theirs[o], cosine, k, each)
         yield q[best], o[best], cosine[best]
 
 
@@ -200,9 +218,11 @@ def _split(cells: DataFrame) -> DataFrame:
     return spread.withColumn("part", F.least("block", "other") * 65536 + F.greatest("block", "other")).drop("other", "blocks", "block")
 
 
-def nearest(distinct: DataFrame, k: int, least: float) -> DataFrame:
+def nearest(distinct: DataFrame, k: int, each: int, least: float) -> DataFrame:
     """(vid, other, cosine): for each vector its k most similar others, ties with the k-th included, of at least least.
 
+    Of the others that belong to one chunk only, at most each count, so that no chunk fills the k.
+
     distinct: (grp, vid, own, vector) with different vectors in a group; own: their only chunk, 0 for several.
     """
     found = centres(distinct)
@@ -212,26 +232,32 @@ def nearest(distinct: DataFrame, k: int, least: float) -> DataFrame:
         vid = table.column("vid").to_numpy()
         # codes are of residuals to the cell's mean, so that unrelated vectors of a cell have inner products about 0
         centre = x.mean(0) if len(x) > 2 else np.zeros(x.shape[1], np.float32)
-        parts = list(neighbours(x, centre, table.column("own").to_numpy(), k, least))
+        own = table.column("own").to_numpy()
+        parts = list(neighbours(x, centre, own, k, each, least))
         q, o, cosine = (np.concatenate(p) for p in zip(*parts, strict=True))
-        return pa.table({"vid": vid[q], "other": vid[o], "cosine": cosine})
+        return pa.table({"vid": vid[q], "other": vid[o], "theirs": np.where(own == 0, vid, own)[o], "cosine": cosine})
 
     cells = _split(assigned(distinct, found))
-    each = cells.groupBy("grp", "cell", "part").applyInArrow(search, "vid long, other long, cosine float")
-    once = each.groupBy("vid", "other").agg(F.max("cosine").alias("cosine"))
-    return once.withColumn("r", F.rank().over(Window.partitionBy("vid").orderBy(F.desc("cosine")))).where(F.col("r") <= k).drop("r")
+    links = cells.groupBy("grp", "cell", "part").applyInArrow(search, "vid long, other long, theirs long, cosine float")
+    once = links.repartition("vid").groupBy("vid", "other", "theirs").agg(F.max("cosine").alias("cosine"))
+    of_chunk = Window.partitionBy("vid", "theirs").orderBy(F.desc("cosine"))
+    rows = once.withColumn("counted", (F.row_number().over(of_chunk) <= each).cast("int")).withColumn("r", F.rank().over(of_chunk)).where(F.col("r") <= each)
+    # before a link come the counted ones with a larger cosine: those up to its cosine without those of its cosine
+    before = F.sum("counted").over(Window.partitionBy("vid").orderBy(F.desc("cosine"))) - F.sum("counted").over(Window.partitionBy("vid", "cosine"))
+    return rows.withColumn("before", before).where(F.col("before") < k).select("vid", "other", "cosine")
 
 
 def most_similar(rows: DataFrame, k: int, least: float) -> DataFrame:
     """(id, other, cosine): each embedding's k most similar ones of other chunks, where the cosine is at least least.
 
-    Of a vector that several chunks share, 2 k others are sought, as up to k of them may belong to the asking chunk alone.
+    Of each vector 2 k others are sought, of which at most k count that belong to one chunk alone: without the asking
+    chunk's, k are left.
     """
     found = vectors(rows)
     single = F.when(F.min("chunk") == F.max("chunk"), F.min("chunk")).otherwise(F.lit(0))
     distinct = stage(found.withColumn("chunk", F.xxhash64("owner")).groupBy("grp", "vid").agg(F.first("vector").alias("vector"), single.alias("own")), "vectors")
     every = stage(found.select("id", "owner", "vid").dropDuplicates(["id"]), "embeddings")
-    links = nearest(distinct, 2 * k, least)
+    links = nearest(distinct, 2 * k, k, least)
     # of the ids with one vector, first at most k a chunk and then the first 2 k: without any one chunk's, k are left
     kept = every.select("vid", "owner", "id").withColumn("a", F.row_number().over(Window.partitionBy("vid", "owner").orderBy("id"))).where(F.col("a") <= k)
     kept = kept.withColumn("b", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).where(F.col("b") <= 2 * k)

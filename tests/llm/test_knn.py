@@ -86,3 +86,14 @@ def test_copies_of_one_vector(spark):
     owner = {r[0]: r[1] for r in rows}
     for i, own in owner.items():
         assert best[i] == set(sorted(j for j, o in owner.items() if o != own)[:5])
+
+
+def test_a_chunk_with_many_vectors_hides_no_others(spark):
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [("s1", "hot", at(1.0)), ("s2", "b", at(1.0))]
+    rows += [(f"h{k:02}", "hot", at(0.999 - k * 1e-4)) for k in range(14)] + [(f"o{k}", f"c{k}", at(0.96 - k * 1e-3)) for k in range(7)]
+    df = spark.createDataFrame([(*r, "m", "1", 1) for r in rows], SCHEMA)
+    got = {(r["id"], r["other"]) for r in K.most_similar(df, 5, 0.9).collect()}
+    assert {o for i, o in got if i == "s1"} == {"s2", "o0", "o1", "o2", "o3"}
+    assert {o for i, o in got if i == "s2"} == {"s1", "h00", "h01", "h02", "h03"}
+    assert {(min(p), max(p)) for p in got} == brute([(*r, "m", "1") for r in rows], 5, 0.9)
