@@ -2,7 +2,8 @@
 
 Vectors are compared by cosine within a group (model, version and length). Each vector is put into the CELLS nearest of the
 cells of its group; a cell is the neighbourhood of a centre, and centres are a hash sample of the vectors themselves, so
-that dense regions get more of them. Two vectors meet if they share a cell. In a cell, residuals to its mean are rotated and
+that dense regions get more of them. Centres so near that the cells between them would cut a dense region are joined, with
+all that are linked through others, to one cell. Two vectors meet if they share a cell. In a cell, residuals to its mean are rotated and
 kept as one bit a dimension with two correction scalars; from packed bits, inner products are estimated with an error
 bound, and only vectors whose upper bound reaches the threshold and the k-th best so far are compared exactly.
 
@@ -29,6 +30,10 @@ from fathomline.storage import stage
 
 #: Vectors a cell should be the nearest of, cells a vector is put into, and the most centres there are.
 CELL_ROWS, CELLS, MAX_CENTRES = 400, 3, 65_536
+#: Centres are joined if, seen from centres that are that similar, pairs at the threshold have residuals of less than this cosine.
+LINKED = 2 / 3
+#: From that share of candidate pairs on, the k-th best of a row is found by a matrix product first.
+DENSE = 0.05
 #: A cell with more rows is split into blocks of that many.
 CELL_MOST = 8192
 #: Standard errors of an estimate that the bound allows for.
@@ -154,7 +159,14 @@ def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, each:
     height = max(1, 2_000_000 // len(x))
     for at in range(0, len(x), height):
         rows = slice(at, min(at + height, len(x)))
-        q, o = np.nonzero(codes.reaching(rows, planes, least - 1e-6))
+        reach = codes.reaching(rows, planes, least - 1e-6)
+        single = np.flatnonzero(own[rows] != 0)
+        if len(x) > k and len(single) and reach.mean() > DENSE:
+            # rows of one chunk see no others of it, so that their k best are among the k best of all
+            c = x[rows][single] @ x.T
+            c[own[rows][single][:, None] == own[None, :]] = -2
+            reach[single] &= c >= np.partition(c, len(x) - k, axis=1)[:, len(x) - k, None] - 1e-5
+        q, o = np.nonzero(reach)
         q += at
         differ = (q != o) & ((own[q] != own[o]) | (own[q] == 0))
         q, o = q[differ], o[differ]
@@ -184,23 +196,42 @@ def centres(distinct: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def assigned(distinct: DataFrame, found: dict[int, np.ndarray]) -> DataFrame:
-    """(grp, cell, vid, own, vector), CELLS rows of each vector; groups without centres are one cell."""
-    held = distinct.sparkSession.sparkContext.broadcast(found)
+def joined(c: np.ndarray, least: float) -> np.ndarray:
+    """Each centre's cell: the first centre that it is linked with, through any number of others."""
+    near = (least - LINKED) / (1 - LINKED)
+    n = len(c)
+    cell = np.arange(n)
+    linked = np.concatenate([((c[i : i + 512] @ c.T) >= near).sum(1) > 1 for i in range(0, n, 512)])
+    left = np.flatnonzero(linked)
+    while len(left):
+        start, front, left = left[0], left[:1], left[1:]
+        while len(front):
+            hit = np.zeros(len(left), bool)
+            for i in range(0, len(front), 512):
+                hit |= ((c[front[i : i + 512]] @ c[left].T) >= near).any(0)
+            front, left = left[hit], left[~hit]
+            cell[front] = start
+    return cell
+
+
+def assigned(distinct: DataFrame, found: dict[int, np.ndarray], least: float) -> DataFrame:
+    """(grp, cell, vid, own, vector), at most CELLS rows of each vector; groups without centres are one cell."""
+    held = distinct.sparkSession.sparkContext.broadcast({g: (c, joined(c, least)) for g, c in found.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column("grp").to_numpy()
             for g in np.unique(groups):
                 part = batch.filter(pa.array(groups == g))
-                c = held.value.get(int(g))
+                c, cells = held.value.get(int(g), (None, None))
                 if c is None:
                     cell, row = np.zeros(len(part), np.int32), np.arange(len(part))
                 else:
                     m = min(CELLS, len(c))
                     near = matrix(part.column("vector")) @ c.T
                     best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                    cell, row = best.reshape(-1).astype(np.int32), np.repeat(np.arange(len(part)), m)
+                    once = np.unique(np.stack([np.repeat(np.arange(len(part)), m), cells[best.reshape(-1)]], 1), axis=0)
+                    cell, row = once[:, 1].astype(np.int32), once[:, 0]
                 for i in range(0, len(row), 20_000):
                     some = part.take(pa.array(row[i : i + 20_000]))
                     yield pa.RecordBatch.from_arrays([some.column("grp"), pa.array(cell[i : i + 20_000]), some.column("vid"), some.column("own"), some.column("vector")], ["grp", "cell", "vid", "own", "vector"])
@@ -237,7 +268,7 @@ def nearest(distinct: DataFrame, k: int, each: int, least: float) -> DataFrame:
         q, o, cosine = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.table({"vid": vid[q], "other": vid[o], "theirs": np.where(own == 0, vid, own)[o], "cosine": cosine})
 
-    cells = _split(assigned(distinct, found))
+    cells = _split(assigned(distinct, found, least))
     links = cells.groupBy("grp", "cell", "part").applyInArrow(search, "vid long, other long, theirs long, cosine float")
     once = links.repartition("vid").groupBy("vid", "other", "theirs").agg(F.max("cosine").alias("cosine"))
     of_chunk = Window.partitionBy("vid", "theirs").orderBy(F.desc("cosine"))

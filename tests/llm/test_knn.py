@@ -97,3 +97,20 @@ def test_a_chunk_with_many_vectors_hides_no_others(spark):
     assert {o for i, o in got if i == "s1"} == {"s2", "o0", "o1", "o2", "o3"}
     assert {o for i, o in got if i == "s2"} == {"s1", "h00", "h01", "h02", "h03"}
     assert {(min(p), max(p)) for p in got} == brute([(*r, "m", "1") for r in rows], 5, 0.9)
+
+
+def test_recall_with_a_third_of_the_rows_in_one_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL_ROWS", 40)
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(rng.standard_normal(64))
+    noise = rng.standard_normal((2000, 64))
+    dense = np.sqrt(0.95) * mean + np.sqrt(0.05) * unit(noise - (noise @ mean)[:, None] * mean)
+    x = np.concatenate([dense, unit(rng.standard_normal((4000, 64)))]).astype("f4")
+    df = spark.createDataFrame([(f"e{k:04}", f"{k:032x}", v.tolist(), "m", "1", 1) for k, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in K.pairs(df, 5, 0.9).collect()}
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -1)
+    want = {(f"e{min(i, j):04}", f"e{max(i, j):04}") for i in range(len(x)) for j in np.argpartition(-cosine[i], 5)[:5] if cosine[i, j] >= 0.9}
+    assert len(got & want) >= 0.99 * len(want) > 5000
+    assert len(got - want) <= 0.01 * len(want)
