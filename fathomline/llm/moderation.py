@@ -245,7 +245,7 @@ def passages(text: str) -> list[str]:
     """Sentences and lines; of long ones without a stop, what lies around the hits, so that a hit is neither diluted nor cut from what is said of it."""
     out = []
     for p in _PASSAGES.split(text):
-        words = p.split()
+        words = _unspaced(p)
         if len(words) <= LONGEST:
             out += [p] if words else []
             continue
@@ -260,6 +260,26 @@ def passages(text: str) -> list[str]:
     return out
 
 
+def _unspaced(passage: str) -> list[str]:
+    """The words of a passage. A word of the lexicons whose letters stand apart is one word, as it is written."""
+    words = passage.split()
+    known, _, single = _spellings()
+    out: list[str] = []
+    at = 0
+    while at < len(words):
+        to = at
+        while to < len(words) and sum(map(str.isalpha, words[to])) == 1:
+            to += 1
+        run = " ".join(words[at:to])
+        if to - at > 2 and ((bare := _OTHER.sub("", restored(run)[0])) in known or bare in single):
+            out.append(run)
+        else:
+            to = max(to, at + 1)
+            out += words[at:to]
+        at = to
+    return out
+
+
 def worst(text: str | None, model: Model | None) -> tuple[float, str | None]:
     """The highest score of a text's passages and that passage; the base score and null without hits."""
     base = model.base if model else 0.0

@@ -57,3 +57,13 @@ def test_trees_fit():
     start, trees = M.boost(x, y)
     score = start + M.RATE * sum(t.predict(x) for t in trees)
     assert ((score > 0) == (y > 0)).mean() > 0.98
+
+
+@pytest.mark.parametrize(("written", "word"), [("a r s c h l o c h", "arschloch"), ("D I C K H E A D,", "dickhead"), ("m о r o n", "moron")])
+def test_spaced_words_in_long_passages(written, word):
+    plain = [f"plain{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(26)]
+    text = " ".join([*plain, "you", written, *plain])
+    found = M.parts_with_hits(text)
+    assert len(found) == 1 and word in M._OTHER.sub(" ", M.restored(found[0][0])[0]).split()
+    assert len(M.passages(" ".join(["you are a real", written, *plain[:15]]))) == 1
+    assert M.passages(" ".join([*plain, "x y z", *plain])) == []
