@@ -7,15 +7,18 @@ that is cut: a top-k report.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import vectors as V
-from fathomline.storage import spread
+from fathomline.storage import spread, stage
 
 #: What a threshold that isn't given stands for: any cosine.
 ANY = -1.0
-#: Queries of one batch: they are sent to every task.
+#: Queries of one block: they are sent to every task.
 MOST_QUERIES = 10_000
 #: Hits that are grouped at once.
 MOST_HITS = 1000
@@ -53,20 +56,24 @@ def search_in_file(embeddings: DataFrame, chunks: DataFrame, file: str, query: l
 
 
 def batch_search(embeddings: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, rank, id, similarity): the limit best hits of each query (query_id, vector), of which there are at most MOST_QUERIES.
+    """(query_id, rank, id, similarity): the limit best hits of each query (query_id, vector), of which there may be any number.
 
-    The stated queries go to all embeddings, block by block; each batch keeps its limit best rows a query, and only these
-    are shuffled.
+    The stated queries go to all embeddings, in blocks of MOST_QUERIES; each batch keeps its limit best rows a query, and
+    only these are shuffled. The hits of full blocks are staged, so that the driver holds the queries of one block.
     """
     check_limit(limit)
-    asked = queries.where(V.is_usable(F.col("vector"))).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in parts")
+    asked = queries.where(V.is_usable(F.col("vector"))).select("query_id", "vector").toLocalIterator()
     kind = queries.schema["query_id"].dataType.simpleString()
     rows = spread(embeddings.where(F.col("embedding").isNotNull()).select("id", "embedding"))
-    best = V.best_of(rows, "id", "embedding", [(r["query_id"], r["vector"]) for r in asked], limit, (), kind).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= limit)
+    parts: list[DataFrame] = []
+    full = True
+    while full:
+        block = [(r["query_id"], r["vector"]) for r in islice(asked, MOST_QUERIES)]
+        full = len(block) == MOST_QUERIES
+        best = V.best_of(rows, "id", "embedding", block, limit, (), kind).distinct().withColumn("rank", rank).where(F.col("rank") <= limit)
+        parts.append(stage(best, "hits") if full else best)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nested_assets(assets: DataFrame) -> DataFrame:

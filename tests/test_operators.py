@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def test_batch_search_equals_single_searches(spark, vectors):
     assert [(r["query_id"], r["id"]) for r in rows] == [("q", "a"), ("q", "h"), ("r", "b"), ("r", "a")]
 
 
+@pytest.mark.parametrize("most", [4, 5, 100])
+def test_batch_search_in_blocks_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(Q, "MOST_QUERIES", most)
+    x = np.random.default_rng(0).standard_normal((600, 8))
+    e = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    asked = e.where("id % 50 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, rank, int(i)) for q in range(0, 600, 50) for rank, i in enumerate(np.argsort(-(unit @ unit[q]))[:5], 1)}
+    assert {(r["query_id"], r["rank"], r["id"]) for r in Q.batch_search(e, asked, 5).collect()} == want
+
+
 def test_grouping_keeps_the_order_of_hits_and_drops_orphans(spark):
     hits = spark.createDataFrame([("1", "c1", 0.9), ("2", "c2", 0.8), ("3", "c3", 0.7), ("4", "gone", 0.6)], "id string, content_chunk_id string, similarity double")
     chunks = spark.createDataFrame([("c1", "f1", 0, "x"), ("c2", "f2", 0, "y"), ("c3", "f1", 1, "z")], "id string, file_id string, chunk_index int, chunk_text string")
