@@ -35,6 +35,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return is_word, values, np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x2545F4914F6CDD1D
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers by byte, and at least n powers of an odd base and of its inverse."""
+    return _tables()[1][:256], *_powers(1 << max(n - 1, 1).bit_length())
+
+
 def _block(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and hashes of the words of a lower-case text of at most LIMIT code points."""
     is_word, values, up, down = _tables()
