@@ -205,9 +205,13 @@ def _odd(m: re.Match) -> str:
 
 
 def _spaced(m: re.Match) -> str:
-    bare = m[0].replace(m[1], "")
-    w = _spellings()[0].get(_skeleton(bare))
-    return w + _MARK if w else m[0]
+    """The longest run of the single letters that is a word; an article may stand before it."""
+    looks, sign, letters = _spellings()[0], m[1], m[0].split(m[1])
+    for n in range(len(letters), 3, -1):
+        for at in range(len(letters) - n + 1):
+            if (w := looks.get(_skeleton("".join(letters[at : at + n])))) is not None:
+                return sign.join([*letters[:at], w + _MARK, *letters[at + n :]])
+    return m[0]
 
 
 def _masked(m: re.Match) -> str:
