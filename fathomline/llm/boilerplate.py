@@ -1,14 +1,21 @@
 """The main body of web pages, by deduction of the template that the pages of a host share.
 
-Tokens are a page's lines (with the site's name and numbers as slots), what stands before a colon or dash in a line, and
-the items of navigation lines. A token's occurrence vector says on which pages of its host it occurs; tokens of a host with
-equal vectors form an equivalence class. A class is valid if its support, its number of pages, is at least HOST_PAGES and
-HOST_SHARE of the host's; valid classes of a host together, nested by their place on the page, are its template. Pages of
-small hosts have too short vectors, so the same is done over all hosts, with the sites' names as slots: a class is valid
-there on GLOBAL_SHARE of all pages and on several hosts. What is left between the tokens of the template are slots. A slot's
-short lines (titles, teasers, tags) belong to the body if they name something that the body's sentences, its commands or the
-breadcrumb speak of: words that are rare over all pages are taken as names. Headings and the page's title, which stands
-before the first sentence, belong to it too, unless a token of the template stands before it that leads teasers elsewhere.
+Tokens are a page's lines (with the site's name and numbers as slots) and the items of navigation lines; a token's role is
+the zone it stands in: before the page's first sentence, after its last, or between. A token's occurrence vector says how
+often it occurs on each page of its host; tokens of a host with equal vectors form an equivalence class. A class is valid if
+its support, its number of pages, is at least HOST_PAGES and HOST_SHARE of the host's, if it has at least CLASS_TOKENS
+tokens, and if these stand in the same order on every page. The valid class with the greatest support is the host's root; it
+cuts each page into slots. A smaller class is valid if it is nested: on every page it stands in the same slot of the root, and
+that isn't the slot with most of the page's other tokens. So a line of the body that recurs on some pages of a host, whatever
+their number, isn't taken for the template: it shares its vector with nothing, and stands in the main slot.
+
+Besides, what holds on single hosts isn't enough here: most have too few pages for vectors to tell anything. So a second tier,
+which isn't part of the method named, takes tokens for template that stand on GLOBAL_SHARE of all pages and on several hosts,
+with the sites' names as slots, and also what stands before a colon or dash in a line. What is left between the tokens of the
+template are slots. A slot's short lines (titles, teasers, tags) belong to the body if they name something that the body's
+sentences, its commands or the breadcrumb speak of: words that are rare over all pages are taken as names. Headings and the
+page's title, which stands before the first sentence, belong to it too, unless a token of the template stands before it that
+leads teasers elsewhere.
 
 All counts are over all pages. Only what is bounded by a share is broadcast: no more tokens than lines a page / GLOBAL_SHARE
 and no more common words than words a page / COMMON_SHARE; a host's own tokens, at most lines a page / HOST_SHARE, travel
@@ -21,6 +28,7 @@ once. A page may consist of boilerplate or of body only. Long pages are read who
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,15 +40,15 @@ from pyspark.sql import functions as F
 from fathomline.operators.skew import left_join
 from fathomline.storage import stage
 
-HOST_PAGES, HOST_SHARE = 4, 0.15
+#: Support of a class of a host, in pages and as a share of its pages, and tokens of one that needn't be nested.
+HOST_PAGES, HOST_SHARE, CLASS_TOKENS = 4, 0.15, 2
 GLOBAL_PAGES, GLOBAL_HOSTS, GLOBAL_SHARE = 4, 3, 0.0025
 #: What stands before a colon must be on that share of all pages, as a colon also stands after names.
 HEAD_SHARE = 0.004
 #: A token leads teasers if at least that share of the lines after it, past the first sentence, are teasers.
 LEADS = 0.5
 COMMON_PAGES, COMMON_SHARE = 4, 0.015
-#: Labels of a host that don't belong to the site's name, and endings of sentences. Fixed values.
-HOST_LABELS = ("www", "docs", "help", "blog", "news", "support", "m")
+#: Endings of sentences. Fixed values.
 ENDINGS = (".", "?", "!", ".”", "?”", "!”", '."', '?"', '!"', ":", ".)", "»")
 
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
@@ -57,8 +65,9 @@ def token(text: str) -> int:
 
 
 def site_name(host: str) -> str:
-    labels = [x for x in host.lower().split(".") if x not in HOST_LABELS]
-    return labels[0].replace("-", " ") if len(labels) > 1 else ""
+    """The label that is registered: the one before the last."""
+    labels = host.lower().split(".")
+    return labels[-2].replace("-", " ") if len(labels) > 1 else ""
 
 
 class Line:
@@ -176,25 +185,56 @@ def pages(chunks: DataFrame, files: DataFrame, key) -> DataFrame:
     return rows.join(html, "file").select("id", "host", "text").dropDuplicates(["id"])
 
 
+def parsed(found: DataFrame) -> DataFrame:
+    """found with each page's tokens in their order, with their roles, and its heads."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, roles, heads = [], [], []
+            for host, text in zip(*(batch.column(c).to_pylist() for c in ("host", "text")), strict=True):
+                page = [line for _, line in lines(text, host)]
+                said = [k for k, line in enumerate(page) if is_sentence(line.text) and not line.items]
+                own, zones = [], []
+                for k, line in enumerate(page):
+                    zone = 0 if not said or k < said[0] else 2 if k > said[-1] else 1
+                    mine = [line.key, *line.items]
+                    own += map(token, mine)
+                    zones += [zone] * len(mine)
+                tokens.append(own)
+                roles.append(zones)
+                heads.append(sorted({token(f"<{line.head}") for line in page if line.head}))
+            arrays = [*(batch.column(c) for c in ("id", "host", "text")), pa.array(tokens, pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int8())), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "host", "text", "tokens", "roles", "heads"])
+
+    return found.mapInArrow(parse, "id string, host string, text string, tokens array<long>, roles array<byte>, heads array<long>")
+
+
+def _hash(*numbers: int) -> int:
+    return token(",".join(map(str, numbers)))
+
+
 def occurrences(found: DataFrame) -> DataFrame:
-    """(host, token, head, n, vector): on how many pages of a host a token occurs, and a signature of which."""
+    """(host, token, role, n, vector): on how many pages of a host a token occurs in a role, and a signature of how often on which.
+
+    The role of heads is -1.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
-            vector: dict[tuple[str, int], int] = {}
-            for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("id", "host", "text")), strict=True):
+            vector: dict[tuple[str, int, int], int] = {}
+            for i, host, tokens, roles, heads in zip(*(batch.column(c).to_pylist() for c in ("id", "host", "tokens", "roles", "heads")), strict=True):
                 page = token(i)
-                for t in {t for _, line in lines(text, host) for t in line.tokens()}:
-                    k = (host, token(t), t.startswith("<"))
+                for (t, role), times in [*Counter(zip(tokens, roles, strict=True)).items(), *(((t, -1), 1) for t in heads)]:
+                    k = (host, t, role)
                     n[k] += 1
-                    vector[k] = vector.get(k, 0) ^ page
+                    vector[k] = vector.get(k, 0) ^ _hash(page, times)
             if n:
                 keys = list(n)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys]), pa.array([n[k] for k in keys], pa.int64()), pa.array([vector[k] for k in keys], pa.int64())], ["host", "token", "head", "n", "vector"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[at] for k in keys], kind) for at, kind in enumerate((pa.string(), pa.int64(), pa.int8()))), pa.array([n[k] for k in keys], pa.int64()), pa.array([vector[k] for k in keys], pa.int64())], ["host", "token", "role", "n", "vector"])
 
-    parts = found.mapInArrow(count, "host string, token long, head boolean, n long, vector long")
-    return parts.groupBy("host", "token", "head").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"))
+    parts = found.select("id", "host", "tokens", "roles", "heads").mapInArrow(count, "host string, token long, role byte, n long, vector long")
+    return parts.groupBy("host", "token", "role").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"))
 
 
 def common_words(found: DataFrame, total: int) -> list[int]:
@@ -212,21 +252,67 @@ def common_words(found: DataFrame, total: int) -> list[int]:
     return [r["token"] for r in words.where(F.col("n") >= max(COMMON_PAGES, COMMON_SHARE * total)).collect()]
 
 
-def templates(found: DataFrame, total: int) -> tuple[list[int], DataFrame]:
-    """The tokens of all pages' template, and (host, own): each host's tokens.
+def equivalence_classes(seen: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, classes): the classes of each host that have support, as (vector, n, tokens with their roles)."""
+    support: Column = F.col("n") >= F.greatest(F.lit(HOST_PAGES), F.col("of") * HOST_SHARE)
+    often = left_join(seen.where((F.col("n") >= HOST_PAGES) & (F.col("role") >= 0)), sizes, ["host"]).where(support)
+    classes = often.groupBy("host", "vector", "n").agg(F.sort_array(F.collect_list(F.struct("token", "role"))).alias("members"))
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("vector", "n", "members"))).alias("classes"))
+
+
+def places(tokens: list[int], roles: list[int], classes: list[dict]) -> Iterator[tuple[int, int]]:
+    """Of each class on a page, a signature of where it stands there: the order of its tokens, or for one that is too small its slot; 0 for the main slot."""
+    first: dict[tuple[int, int], int] = {}
+    for at, k in enumerate(zip(tokens, roles, strict=True)):
+        first.setdefault(k, at)
+    held = [(c["vector"], c["n"], [(m["token"], m["role"]) for m in c["members"]]) for c in classes]
+    root = max((c for c in held if len(c[2]) >= CLASS_TOKENS), key=lambda c: (c[1], len(c[2]), c[0]), default=None)
+    inside = {m for _, _, members in held for m in members}
+    cuts = sorted(first[m] for m in root[2] if m in first) if root else []
+    free: Counter = Counter(bisect(cuts, at) for at, k in enumerate(zip(tokens, roles, strict=True)) if k not in inside)
+    main = max(free, key=lambda g: (free[g], -g), default=-1)
+    for vector, _, members in held:
+        at = sorted((first[m], m) for m in members if m in first)
+        if not at:
+            continue
+        if len(members) >= CLASS_TOKENS:
+            yield vector, _hash(*(x for _, m in at for x in m)) or 1
+        elif root is None or not cuts:
+            yield vector, 0
+        else:
+            gap = bisect(cuts, at[0][0])
+            yield vector, 0 if gap == main else gap + 1
 
-    Tokens are grouped to equivalence classes by host and occurrence vector, and classes are accepted or rejected whole.
-    """
+
+def valid_tokens(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, own): the tokens of the classes of each host that are ordered or nested alike on all their pages."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low: dict[tuple[str, int], int] = {}
+            high: dict[tuple[str, int], int] = {}
+            for host, tokens, roles, mine in zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "roles", "classes")), strict=True):
+                for vector, sign in places(tokens, roles, mine or []):
+                    k = (host, vector)
+                    low[k], high[k] = min(low.get(k, sign), sign), max(high.get(k, sign), sign)
+            if low:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in low], pa.string()), pa.array([k[1] for k in low], pa.int64()), pa.array(list(low.values()), pa.int64()), pa.array(list(high.values()), pa.int64())], ["host", "vector", "low", "high"])
+
+    signs = left_join(found.select("host", "tokens", "roles"), classes, ["host"]).where("classes is not null").mapInArrow(look, "host string, vector long, low long, high long")
+    alike = signs.groupBy("host", "vector").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high and low <> 0").select("host", "vector")
+    members = classes.select("host", F.explode("classes").alias("c")).select("host", F.col("c.vector").alias("vector"), F.col("c.members.token").alias("tokens"))
+    return members.join(alike, ["host", "vector"], "left_semi").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("own"))
+
+
+def templates(found: DataFrame, total: int) -> tuple[list[int], DataFrame]:
+    """The tokens of all pages' template, and (host, own): the tokens of each host's valid classes."""
     seen = stage(occurrences(found), "tokens")
-    everywhere = seen.groupBy("token", "head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"))
+    everywhere = seen.withColumn("head", F.col("role") < 0).groupBy("token", "head").agg(F.sum("n").alias("n"), F.countDistinct("host").alias("hosts"))
     share = F.when(F.col("head"), F.lit(HEAD_SHARE)).otherwise(F.lit(GLOBAL_SHARE))
     wide = everywhere.where((F.col("n") >= F.greatest(F.lit(GLOBAL_PAGES), share * total)) & (F.col("hosts") >= GLOBAL_HOSTS))
     sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    support: Column = F.col("n") >= F.greatest(F.lit(HOST_PAGES), F.col("of") * HOST_SHARE)
-    often = left_join(seen.where((F.col("n") >= HOST_PAGES) & ~F.col("head")), sizes, ["host"]).where(support)
-    classes = often.groupBy("host", "vector", "n").agg(F.collect_list("token").alias("tokens"))
-    own = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("own"))
-    return [r["token"] for r in wide.select("token").collect()], own  # at most lines a page / GLOBAL_SHARE
+    classes = stage(equivalence_classes(seen, sizes), "classes")
+    return [r["token"] for r in wide.select("token").collect()], valid_tokens(found, classes)  # at most lines a page / GLOBAL_SHARE
 
 
 def leading(found: DataFrame, held) -> list[int]:
@@ -251,7 +337,7 @@ def leading(found: DataFrame, held) -> list[int]:
 def main_lines(found: DataFrame) -> DataFrame:
     """(id, line_no, line): the lines of the main body of each page of found (id, host, text). Lines count from 0."""
     rows = found.select("id", F.coalesce("host", F.lit("")).alias("host"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    found = stage(rows, "pages")
+    found = stage(parsed(rows), "pages")
     context = found.sparkSession.sparkContext
     total = found.count()
     wide, own = templates(found, total)
