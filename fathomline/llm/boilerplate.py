@@ -312,7 +312,8 @@ def templates(found: DataFrame, total: int) -> tuple[list[int], DataFrame]:
     wide = everywhere.where((F.col("n") >= F.greatest(F.lit(GLOBAL_PAGES), share * total)) & (F.col("hosts") >= GLOBAL_HOSTS))
     sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     classes = stage(equivalence_classes(seen, sizes), "classes")
-    return [r["token"] for r in wide.select("token").collect()], valid_tokens(found, classes)  # at most lines a page / GLOBAL_SHARE
+    own = stage(valid_tokens(found, classes), "own")
+    return [r["token"] for r in wide.select("token").collect()], own  # at most lines a page / GLOBAL_SHARE
 
 
 def leading(found: DataFrame, held) -> list[int]:

@@ -9,8 +9,12 @@ where o is less). What is left is verified by walking a tree of each text's part
 prefix share the partial overlap and a branch ends once its remaining length can't reach the bound.
 
 Nothing is approximate but hash equality (48 bits an n-gram, 64 bits a text's class). Only the order comes from a sketch:
-occurrence counts of hashed n-grams in a table of at most 2**MAX_BITS cells of one byte, summed over all texts. Any global
-order gives the same result; a rarer-first one is merely faster, and a cell that counts one proves an n-gram unique.
+occurrence counts of hashed n-grams, and of hashed words, in a table of at most 2**MAX_BITS cells of one byte and half of
+that, summed over all texts in stages of MERGE tables each. Any global order gives the same result; a rarer-first one is
+merely faster, and a cell that counts one proves an n-gram, or a word and all n-grams with it, unique. In a collection that is
+large for the table most of a cell's count is other n-grams'. What all cells have in common is taken off then: n-grams that
+stand out are still put last, and the rest is ordered by their rarest words, of which there are far fewer than n-grams. So the
+work a text stays about the same beyond the table's size, which nothing switches on.
 
 Cases: null and blank texts, rows without an id, and texts of fewer than n words are in no pair. Re-delivered rows (same id) count once.
 Equal sets are one class and are joined once, whatever their number. Very long texts are hashed in blocks. Empty tables
@@ -28,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.wordhash import mix, sequences, words
+from fathomline.operators.skew import left_join
 from fathomline.storage import spread, stage
 
-#: The sketch that orders the n-grams has at most 2**MAX_BITS cells of a byte; that is what is broadcast at most.
+#: The sketch that orders the n-grams has at most 2**MAX_BITS cells of a byte, and half as many for words; that is what is broadcast at most.
 MAX_BITS = 25
-SLICES = 64
+SLICES, WORD_SLICES = 64, 32
+#: Partial tables that one task sums up.
+MERGE = 32
 #: Texts that are sorted at once: their number fits the top byte of a sort key.
 DOCS = 256
 #: Postings a bucket of the tree should hold, and postings of one n-gram that one task pairs at once.
@@ -61,12 +68,35 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 192, counts, big).astype(np.uint8)
 
 
-def least_count(levels: np.ndarray) -> np.ndarray:
-    """About the count that a level stands for."""
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """About the count that a byte of level() stands for."""
     x = levels.astype(np.float64)
     return np.where(x < 192, x, 192 * 2 ** ((x - 192) / 4))
 
 
+def rarities(levels: np.ndarray) -> np.ndarray:
+    """Levels of n-grams as numbers up to 31, 2 a doubling: 0 for those that occur once, 2 or more for others.
+
+    What the middle cell counts, and three deviations, are other n-grams' in all cells: nothing as long as the table is large enough.
+    """
+    counts = count_of(np.arange(256))
+    middle = counts[int(np.searchsorted(np.cumsum(np.bincount(levels, minlength=256)), len(levels) // 2))]
+    noise = middle + 3 * np.sqrt(middle) if middle >= 4 else 0.0
+    own = np.where(counts <= 1, counts, np.maximum(2, counts - noise))
+    return np.minimum(31, np.round(2 * np.log2(np.maximum(own, 1)))).astype(np.uint8)[levels]
+
+
+def word_rarities(levels: np.ndarray) -> np.ndarray:
+    """Levels of words as numbers up to 7, one for two doublings: 0 for those that occur once."""
+    counts = count_of(np.arange(256))
+    return np.where(counts <= 1, 0, np.minimum(7, 1 + np.log2(np.maximum(counts, 2)) // 2)).astype(np.uint8)[levels]
+
+
+def least_count(rarity: np.ndarray) -> np.ndarray:
+    """About the count that an n-gram's number of rarities() stands for."""
+    return 2.0 ** (rarity.astype(np.float64) / 2)
+
+
 def gaps(cells: np.ndarray, number: np.ndarray) -> tuple[bytes, bytes]:
     """Rising cells as bytes of their distances, with cells that count nothing where a distance needs more than a byte."""
     step = np.diff(cells, prepend=0)
@@ -81,11 +111,12 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column("text").to_pylist()
 
 
-def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """How often hashed n-grams occur in all texts, as 2**bits levels; texts has a column text."""
+def sketch(texts: DataFrame, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often hashed n-grams and hashed words occur in all texts, as 2**bits and 2**(bits - 1) levels; texts has a column text."""
     width = bits - 6
+    n_slices = SLICES + WORD_SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(index: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         fresh: list[np.ndarray] = []
         size = 0
@@ -105,15 +136,16 @@ def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
         def out() -> Iterator[pa.RecordBatch]:
             cells, number = merged()
             number = np.minimum(number, 255).astype(np.uint8)
-            ends = np.searchsorted(cells, np.arange(SLICES + 1) << width)
-            rows = [(k, *gaps(cells[a:b] & ((1 << width) - 1), number[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "cells", "number"])
+            ends = np.searchsorted(cells, np.arange(n_slices + 1) << width)
+            rows = [(k, index, *gaps(cells[a:b] & ((1 << width) - 1), number[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "part", "cells", "number"])
 
         for batch in batches:
-            g, _, _ = sequences(*words(_texts(batch)), n)
+            hashes, counts = words(_texts(batch))
+            g, _, _ = sequences(hashes, counts, n)
             if len(g):
-                fresh.append(((g >> _U(16)) & _U((1 << bits) - 1)).astype(np.int64))
-                size += len(g)
+                fresh += [cells_of(g, 1 << bits), cells_of(hashes, 1 << bits - 1) + (1 << bits)]
+                size += len(g) + len(hashes)
                 if size > 1 << 21:
                     fold()
                     size = 0
@@ -125,34 +157,61 @@ def sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
         if kept:
             yield from out()
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        return count(TaskContext.get().partitionId(), batches)
+
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << width, np.uint32)
         for cells, number in zip(table.column("cells").to_pylist(), table.column("number").to_pylist(), strict=True):
-            total[np.cumsum(np.frombuffer(cells, np.uint8), dtype=np.int64)] += np.frombuffer(number, np.uint8)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "levels": pa.array([level(total).tobytes()], pa.binary())})
-
-    parts = texts.select("text").mapInArrow(count, "slice int, cells binary, number binary")
-    levels = np.zeros((SLICES, 1 << width), np.uint8)
-    for row in parts.groupBy("slice").applyInArrow(add, "slice int, levels binary").collect():  # 2**bits bytes, at most 2**MAX_BITS
+            if cells is None:  # a sum of an earlier stage
+                total += np.frombuffer(number, "<u4")
+            else:
+                total[np.cumsum(np.frombuffer(cells, np.uint8), dtype=np.int64)] += np.frombuffer(number, np.uint8)
+        one = [pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("slice", "part")]
+        return pa.table([*one, pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["slice", "part", "cells", "number"])
+
+    kind = "slice int, part int, cells binary, number binary"
+    parts = texts.select("text").mapInArrow(numbered, kind)
+    n_parts = texts.rdd.getNumPartitions()
+    while True:
+        n_parts = -(-n_parts // MERGE)
+        parts = parts.withColumn("part", F.col("part") % n_parts).groupBy("slice", "part").applyInArrow(add, kind)
+        if n_parts == 1:
+            break
+    to_level = lambda table: pa.table([table.column("slice"), pa.array([level(np.frombuffer(x.as_py(), "<u4")).tobytes() for x in table.column("number")], pa.binary())], ["slice", "levels"])
+    small = parts.select("slice", "number").mapInArrow(lambda batches: (b for x in batches for b in to_level(pa.Table.from_batches([x])).to_batches()), "slice int, levels binary")
+    levels = np.zeros((n_slices, 1 << width), np.uint8)
+    for row in small.collect():  # 3/2 of 2**bits bytes, at most of 2**MAX_BITS
         levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
-    return levels.reshape(-1)
+    return levels[:SLICES].reshape(-1), levels[SLICES:].reshape(-1)
+
 
+def cells_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    return ((hashes >> _U(16)) & _U(size - 1)).astype(np.int64)
 
-def ordered_sets(texts: list[str | None], n: int, levels: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+def ordered_sets(texts: list[str | None], n: int, rarity: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For up to DOCS texts at once: the first text's index, all texts' ordered sets one after another, the sets' sizes.
 
-    An element has the n-gram's level in its top 16 bits (0 without levels) and its id in the other 48.
+    rarity: of n-grams and of words, by cell. An element has its place in the order in its top 16 bits (0 without rarity): the
+    n-gram's rarity times 8, plus its rarest word's. In the other 48 bits it has its id.
     """
     hashes, counts = words(texts)
     ends = np.cumsum(counts)
     for first in range(0, len(texts), DOCS):
         own = counts[first : first + DOCS]
         start = int(ends[first] - counts[first])
-        g, doc, _ = sequences(hashes[start : start + int(own.sum())], own, n)
-        g >>= _U(16)
-        key = (doc.astype(np.uint64) << _U(56)) | g
-        if levels is not None:
-            key |= levels[(g & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << _U(48)
+        mine = hashes[start : start + int(own.sum())]
+        g, doc, at = sequences(mine, own, n)
+        key = (doc.astype(np.uint64) << _U(56)) | (g >> _U(16))
+        if rarity is not None and len(g):
+            word = rarity[1][cells_of(mine, len(rarity[1]))]
+            least = word[at]
+            for k in range(1, n):
+                least = np.minimum(least, word[at + k])
+            key |= (rarity[0][cells_of(g, len(rarity[0]))].astype(np.uint64) << _U(51)) | (least.astype(np.uint64) << _U(48))
         key = np.unique(key)
         yield first, key & _U((1 << 56) - 1), np.bincount((key >> _U(56)).astype(np.int64), minlength=len(own))
 
@@ -179,7 +238,7 @@ def members(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(describe, "id string, class long, size int")
 
 
-def nodes(texts: DataFrame, n: int, t: Fraction, levels, buckets: int) -> DataFrame:
+def nodes(texts: DataFrame, n: int, t: Fraction, rarity, buckets: int) -> DataFrame:
     """The upper part of the tree, as blocks of postings (who holds an n-gram at which depth) by bucket of n-grams."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +260,17 @@ def nodes(texts: DataFrame, n: int, t: Fraction, levels, buckets: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "low", "high", "doc", "rank", "names", "sizes"])
 
         for batch in batches:
-            for _, elements, sizes in ordered_sets(_texts(batch), n, levels.value):
+            for _, elements, sizes in ordered_sets(_texts(batch), n, rarity.value):
                 starts = np.cumsum(sizes) - sizes
                 rank = np.arange(len(elements)) - np.repeat(starts, sizes)
                 length = np.repeat(sizes, sizes)
                 high = elements >> _U(48)
-                keep = np.flatnonzero((rank < length - overlap(t, length, smallest_partner(t, length)) + MEET) & (high > 1))
+                keep = np.flatnonzero((rank < length - overlap(t, length, smallest_partner(t, length)) + MEET) & (high >= 8) & (high & _U(7) > 0))  # others are unique
                 if not len(keep):
                     continue
                 token, rank, length, high = elements[keep] & _U(ID), rank[keep], length[keep], high[keep]
                 name = np.repeat(classes(elements, sizes), sizes)[keep]
-                blocks = np.maximum(1, np.ceil(least_count(high) / NODE_ROWS)).astype(np.int64)
+                blocks = np.maximum(1, np.ceil(least_count(high >> _U(3)) / NODE_ROWS)).astype(np.int64)
                 if blocks.max() > 1:  # an n-gram that very many hold: its postings meet block by block
                     many, one = np.flatnonzero(blocks > 1), np.flatnonzero(blocks == 1)
                     own = (mix(name[many].view(np.uint64)) % blocks[many].astype(np.uint64)).astype(np.int64)
@@ -333,12 +392,12 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.sortWithinPartitions("c1").mapInArrow(walk, "c1 long, c2 long, shared long, size1 long")
 
 
-def element_sets(rows: DataFrame, n: int, levels) -> DataFrame:
+def element_sets(rows: DataFrame, n: int, rarity) -> DataFrame:
     """(class, elements) of each text: its ordered set as bytes."""
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, elements, sizes in ordered_sets(_texts(batch), n, levels.value):
+            for _, elements, sizes in ordered_sets(_texts(batch), n, rarity.value):
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(classes(elements, sizes)), pa.array([elements[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], ["class", "elements"])
 
@@ -356,17 +415,31 @@ def similar_classes(rows: DataFrame, n: int, threshold: float) -> tuple[DataFram
     count = rows.count()
     bits = min(MAX_BITS, max(16, (128 * count).bit_length()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64 * count // BUCKET_ROWS)
-    levels = spark.sparkContext.broadcast(sketch(rows, n, bits))
+    grams, single = sketch(rows, n, bits)
+    rarity = spark.sparkContext.broadcast((rarities(grams), word_rarities(single)))
     who = stage(members(rows, n).distinct(), "members")
-    left = stage(candidates(nodes(rows, n, t, levels, buckets), t), "close")
+    left = stage(candidates(nodes(rows, n, t, rarity, buckets), t), "close")
     close = left.select(F.col("c1").alias("class")).unionByName(left.select(F.col("c2").alias("class"))).distinct()
     ids = stage(who.join(close, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id"), "ids")
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    sets = element_sets(rows.join(ids, "id", "left_semi"), n, levels).dropDuplicates(["class"])
+    sets = element_sets(rows.join(ids, "id", "left_semi"), n, rarity).dropDuplicates(["class"])
     links = stage(verified(left, sets, t).select("c1", "c2"), "links")
     return who, links
 
 
+def linked(rows: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, class, n_copies, n_links): of each text its class of equal sets, that class's texts, and similar texts of other classes.
+
+    Copies aren't expanded into pairs.
+    """
+    who, links = similar_classes(rows, n, threshold)
+    sizes = who.groupBy("class").agg(F.count(F.lit(1)).alias("n_copies"))
+    both = links.select(F.col("c1").alias("class"), F.col("c2").alias("other")).unionByName(links.select(F.col("c2").alias("class"), F.col("c1").alias("other")))
+    theirs = both.join(sizes.select(F.col("class").alias("other"), F.col("n_copies").alias("n")), "other").groupBy("class").agg(F.sum("n").alias("n_links"))
+    described = stage(sizes.join(theirs, "class", "left"), "described")
+    return left_join(who.select("id", "class"), described, ["class"]).select("id", "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def pairs(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """Every pair of ids (a < b) whose texts are that similar, equal texts included."""
     who, links = similar_classes(rows, n, threshold)

@@ -46,6 +46,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.pairs(rows, 3, 0.5).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each chunk's class of equal texts, with the numbers of its copies and of its near-duplicates, by five words and 0.8."""
+    rows = read(spark, root, "content_chunks").select("id", F.col("chunk_text").alias("text"))
+    return neardup.linked(rows).withColumnRenamed("id", "content_chunk_id").withColumnRenamed("class", "class_id")
+
+
 def _pages(spark: SparkSession, root: str) -> DataFrame:
     return boilerplate.pages(read(spark, root, "content_chunks"), read(spark, root, "files"), uuid_key)
 
@@ -102,5 +108,5 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
     return scores.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), case.alias("n_cases"), (case / F.count(F.lit(1))).alias("rate"), F.avg("score").alias("mean_score"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}

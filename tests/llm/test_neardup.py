@@ -115,3 +115,38 @@ def test_gaps_round_trip():
     total = np.zeros(100_001, int)
     total[np.cumsum(np.frombuffer(far, np.uint8), dtype=np.int64)] += np.frombuffer(n, np.uint8)
     assert (total[cells] == number).all() and total.sum() == number.sum()
+
+
+def test_small_tables_change_nothing(spark, monkeypatch):
+    """A table that is far too small for the collection gives the same pairs, and partial tables are summed in stages."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(40)]
+        texts += [(f"{k}a", " ".join(base)), (f"{k}b", " ".join([*base[:20], "new", *base[21:]])), (f"{k}c", " ".join(rng.sample(base, 40)))]
+    df = spark.createDataFrame(texts, "id string, text string").repartition(11)
+    want = {tuple(r) for r in N.pairs(df, 3, 0.5).collect()}
+    monkeypatch.setattr(N, "MAX_BITS", 8)
+    monkeypatch.setattr(N, "MERGE", 2)
+    assert {tuple(r) for r in N.pairs(df, 3, 0.5).collect()} == want and len(want) >= 60
+
+
+def test_counts_of_the_sketch(spark):
+    df = spark.createDataFrame([("a b c d",)] * 5 + [("x y z",)], "text string").repartition(5)
+    grams, single = N.sketch(df, 3, 16)
+    assert sorted(grams[grams > 0].tolist()) == [1, 5, 5] and sorted(single[single > 0].tolist()) == [1, 1, 1, 5, 5, 5, 5]
+
+
+def test_rarities_take_off_what_all_cells_have():
+    plain = N.rarities(np.array([0, 0, 0, 1, 2, 8], np.uint8))
+    assert plain.tolist() == [0, 0, 0, 0, 2, 6]
+    full = N.rarities(np.array([100] * 50 + [101, 191], np.uint8))
+    assert (full[:51] == 2).all() and full[51] > 10
+
+
+def test_linked(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [("a", base), ("b", base), ("c", base + " more"), ("d", "other words than those that stand in the others"), ("e", "")]
+    got = {r["id"]: (r["n_copies"], r["n_links"]) for r in N.linked(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == {"a": (2, 1), "b": (2, 1), "c": (1, 2), "d": (1, 0)}
