@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.operators import orphans
-from fathomline.storage import read
+from fathomline.storage import new_folder, read
 
 
-def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanState:
+def _orphan_state(spark: SparkSession, root: str) -> orphans.OrphanStore:
+    """A new state, advanced by three deltas: files and deletions, then all references, then the chunks that some of them wait for."""
+    store = orphans.OrphanStore(spark, new_folder(spark, "orphans"))
     refs = [orphans.as_references(read(spark, root, r.table), r) for r in orphans.REFERENCES]
-    ups = [orphans.as_parents(read(spark, root, t), t) for t in ("files", "content_chunks")]
-    return orphans.build(refs, ups, orphans.as_deleted(read(spark, root, "deleted_keys")))
+    store.advance(0, parents=orphans.as_parents(read(spark, root, "files"), "files"), deleted=orphans.as_deleted(read(spark, root, "deleted_keys")))
+    store.advance(1, references=refs[0].unionByName(refs[1]).unionByName(refs[2]))
+    store.advance(2, parents=orphans.as_parents(read(spark, root, "content_chunks"), "content_chunks"))
+    return store
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return orphans.open_cases(_orphan_state(spark, root))
+    return orphans.open_cases(_orphan_state(spark, root).references)
 
 
 def p5_report(spark: SparkSession, root: str) -> DataFrame:
-    return orphans.snapshot(_orphan_state(spark, root))
+    return orphans.snapshot(_orphan_state(spark, root).references)
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report}

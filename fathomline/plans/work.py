@@ -63,23 +63,22 @@ def job_state_fold(spark: SparkSession, root: str) -> DataFrame:
 @query(_FOLD)
 def stream_job_states(spark: SparkSession, root: str) -> DataFrame:
     """The same by the stream: what is left when it has been drained."""
+    from fathomline.storage import new_folder
     from fathomline.streaming import jobs as stream
 
-    return _shown(stream.latest_states(P.job_events(stream.read_stream(spark, root, "events"))))
+    return _shown(stream.latest_states(P.job_events(stream.read_stream(spark, root, "events")), new_folder(spark, "job-states")))
 
 
 @query()
 def stream_ingest_documents(spark: SparkSession, root: str) -> DataFrame:
     """Documents chunked by a stream and read back."""
-    import uuid
-
-    from fathomline.storage import shared_folder
+    from fathomline.storage import new_folder
     from fathomline.streaming import jobs as stream
 
-    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    path = new_folder(spark, "ingest")
     docs = stream.read_stream(spark, root, "documents").select(F.col("doc_id").cast("string").alias("id"), "tenant_id", "text")
     stream.ingest(docs, path)
-    return spark.read.parquet(path).select("id", "tenant_id", "file_id", "chunk_index", "token_count")
+    return spark.read.parquet(f"{path}/chunks").select("id", "tenant_id", "file_id", "chunk_index", "token_count")
 
 
 _STATUS = sql_status("status")

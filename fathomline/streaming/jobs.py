@@ -1,12 +1,11 @@
 """Job states, progress and ingestion as streams.
 
 State is kept per key and is a few fields, however many events a key has. Events must come in order of time within a key
-across batches; inside a batch they are sorted. Checkpoints lie in the shared folder, so that a restarted query goes on.
+across batches; inside a batch they are sorted. Checkpoints lie where the caller says, so that a query started again goes on.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fathomline.operators.chunking import ChunkConfig, word_chunks
 from fathomline.operators.jobs import CANCELLED, START_PROGRESS
 from fathomline.sources.sinks import stable_id
-from fathomline.storage import shared_folder
 
 _STATE = "status string, progress double, started_at timestamp, completed_at timestamp, error string, n_events long"
 _OUT = f"key string, {_STATE}"
@@ -56,38 +54,36 @@ def states(events: DataFrame) -> DataFrame:
     return ok.groupBy("key").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
-    """Run a stream over all that is there now, each batch through handle."""
-    checkpoint = f"{shared_folder(stream.sparkSession)}/{name}-checkpoint-{uuid.uuid4().hex}"
+def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream over all that is there now, each batch through handle. With the checkpoint of an earlier run it goes on behind that."""
     query = stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest_states(events: DataFrame, name: str = "job-states") -> DataFrame:
-    """The last state of each key once a stream of events has been drained. Batches append to a table; the last update of a key counts."""
+def latest_states(events: DataFrame, folder: str) -> DataFrame:
+    """The last state of each key once a stream of events has been drained. Each batch is a part of a table in folder; the last update of a key counts."""
     spark = events.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = states(events).schema
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+        df.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
 
-    drain(states(events), write, name)
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    drain(states(events), write, f"{folder}/checkpoint")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/states")
     return rows.groupBy("key").agg(F.max_by(F.struct(*schema.names[1:7]), "batch").alias("s")).select("key", "s.*")
 
 
 def ingest(documents: DataFrame, path: str, config: ChunkConfig = ChunkConfig()) -> None:
-    """Chunk a stream of documents (id, tenant_id, text) and append the chunks to a table.
+    """Chunk a stream of documents (id, tenant_id, text) and append the chunks to a table, path/chunks.
 
     Ids are made of document and index: a batch that is written again after a failure is recognised by its batch number.
     """
 
     def write(df: DataFrame, batch: int) -> None:
         rows = word_chunks(df, config).select(stable_id(F.col("id"), F.col("chunk_index")).alias("id"), "tenant_id", F.col("id").alias("file_id"), "chunk_index", "chunk_text", "token_count")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
 
-    drain(documents, write, "ingest")
+    drain(documents, write, f"{path}/checkpoint")
 
 
 def active_snapshot(states_: DataFrame) -> DataFrame:
