@@ -5,7 +5,7 @@ before the text, after the label in brackets, or on a line of their own, or labe
 normalised in three steps. Numbered speakers and roles have a canonical form. Names are resolved against the full names of
 the same transcript. What is still only a part of a name is looked up in the roster of the other transcripts of its file:
 labels and roster meet on a phonetic key of a name's part, and an assignment of least cost decides. Then lexical noise
-(hesitation sounds, sound notes, tags) is stripped, utterances without words are dropped and runs of one speaker joined.
+(hesitation sounds, sound notes, tags) is stripped; brackets of more than two words without a word of a sound note are spoken, utterances without words are dropped and runs of one speaker joined.
 
 Cases: null, blank and other texts, and rows without an id, give no rows. An utterance without a label continues the speaker before it; before any
 label it belongs to a speaker of its own. Ties of times keep the written order. Rows repeated under one id count once.
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.operators.skew import left_join
 from fathomline.storage import spread, stage
 
 # Hesitation sounds, other words that only fill, roles and titles, in English, Spanish, French and German.
@@ -41,7 +42,10 @@ TAKEN = 2.0
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u00ad\u200b-\u200f\u2060\ufeff]")
 _HESITATION = "|".join(sorted(HESITATIONS, key=len, reverse=True))
-_NOTE = re.compile(r"\[[^\]]*\]|\(\([^()]*\)\)|\([^()]*\)|\{[^}]*\}|<[^>]*>|\*[^*]+\*|[♪♫]")
+# Words of sound notes, by their beginnings. Longer brackets without one hold spoken words.
+NOTES = """laugh chuckl applau music inaudibl unintelligibl crosstalk nois cough paus silenc sigh ring beep static overlap whisper door phone background clap cheer
+risa ríe ríen aplaus músic inaudib ruido tos silenc suspir rire rit rient applaud musiq inaudib bruit toux soupir lach beifall musik unverständl geräusch hust stille seufz lärm""".split()
+_NOTE = re.compile(rf"(?i)\[[^\]]*\]|\(\([^()]*\)\)|\(\s*(?:[^()\s]+\s*){{0,2}}\)|\([^()]*\b(?:{'|'.join(NOTES)})[^()]*\)|\{{[^}}]*\}}|<[^>]*>|\*[^*]+\*|[♪♫]")
 # Sounds that are no words of another language, and sound notes: they show that a text is speech.
 _SOUND = re.compile(r"(?i)\b(?:uh|uhm|hmm?|mmm|mhm|euh|heu|äh|ähm|öhm)\b|\b(?:i mean|you know),|[♪♫]|\[[a-z_ ]+(?: [\d:]+)?\]|(?-i:\(\(?[a-z]+(?: rings)?\)?\))|\{[a-z ]+\}|<noise>|\*[a-z]+\*")
 _FILLER = re.compile(rf"(?i)(?<![\w'])(?:{'|'.join(FILLER_PHRASES)}|{_HESITATION}|este(?=,))(?![\w'])[,.…]*")
@@ -450,7 +454,10 @@ def rosters(found: DataFrame) -> DataFrame:
     sounds = stage(labels.mapInArrow(keys, "id string, file string, is_full boolean, name string, sound string"), "labels")
     asked = sounds.where(~F.col("is_full")).select("id", "file", "sound").distinct()
     known = sounds.where("is_full").select("file", "sound", "name").distinct()
-    return asked.join(known, ["file", "sound"]).groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("roster"))
+    # one row a sound of a file, so that a file with very many transcripts doesn't multiply rows, and is joined apart
+    alike = known.groupBy("file", "sound").agg(F.collect_list("name").alias("names"))
+    met = left_join(asked, alike, ["file", "sound"]).where(F.col("names").isNotNull())
+    return met.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("roster"))
 
 
 def speaker_turns(rows: DataFrame) -> DataFrame:

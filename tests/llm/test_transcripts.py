@@ -103,3 +103,27 @@ def test_over_a_table(spark):
     got = {(r["id"], r["turn_no"], r["speaker_no"]) for r in T.speaker_turns(df).collect()}
     assert got == {("a", 0, 0), ("a", 1, 1), ("b", 0, 0)}
     assert T.speaker_turns(df.limit(0)).count() == 0
+
+
+def test_spoken_brackets_stay():
+    assert T.clean("the result (which was twelve percent) is good (laughs) (phone rings) (the whole audience laughs)") == "the result (which was twelve percent) is good"
+    assert T.clean("(inaudible)") == "" == T.clean("[inaudible 00:12] ((crosstalk))")
+
+
+def test_like_sounding_spellings_have_one_key():
+    assert T.phonetic("david") == T.phonetic("davit") and T.phonetic("smyth") == T.phonetic("smith")
+    assert T.resolve(["Smyth"], ["Jonathan Smith"]) == {"Smyth": "jonathan smith"}
+
+
+def test_a_file_with_very_many_transcripts(spark, monkeypatch):
+    """Hot keys of rosters are joined apart and give what plain ones do."""
+    from fathomline.operators import skew
+
+    said = "we looked at all of the numbers again today"
+    rows = [(f"p{k}", "f", f"[0.0-1.0s] Lee: {said}\n[2.0-3.0s] Kim: {said}\n[4.0-5.0s] Lee: {said}") for k in range(30)]
+    rows += [(f"q{k}", "f", f"[0.0-1.0s] Ada Lee: {said}\n[2.0-3.0s] Bo Kim: {said}") for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, file string, text string")
+    plain = {tuple(r) for r in T.speaker_turns(df).select("id", "turn_no", "speaker_no", "speaker").collect()}
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    assert {tuple(r) for r in T.speaker_turns(df).select("id", "turn_no", "speaker_no", "speaker").collect()} == plain
+    assert {(r[1], r[3]) for r in plain if r[0] == "p7"} == {(0, "ada lee"), (1, "bo kim"), (2, "ada lee")}
