@@ -77,9 +77,9 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, root: str) -> DataFrame:
-    """Each leaked item with its number of documents and the largest coverage, of the whole and of its question line."""
+    """Each leaked item with its number of documents and the largest coverage, of the whole, of its question line and of what stands before it."""
     found = leakage.leaks(read(spark, root, "documents"), read(spark, root, "eval_items"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("coverage").alias("coverage"), F.max("question_coverage").alias("question_coverage"), F.max("answer_coverage").alias("answer_coverage"))
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:

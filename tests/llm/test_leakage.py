@@ -65,22 +65,55 @@ def test_edges(spark):
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
 
 
+def scores(index, terms):
+    out = np.zeros(len(index.items))
+    for t in terms:
+        a, b = index.starts[t], index.starts[t + 1]
+        out[index.item[a:b]] += index.impact[a:b]
+    return out
+
+
 def test_wand_finds_all_scores_from_the_threshold():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice([f"w{k}" for k in range(12)], 40)) for _ in range(60)]
-    index = L.build(list(range(60)), texts, 1 / 3)
-    for _ in range(50):
-        terms = np.unique(rng.integers(0, len(index.terms), rng.integers(1, 60)))
-        score = np.zeros(60)
-        for t in terms:
-            a, b = index.starts[t], index.starts[t + 1]
-            score[index.item[a:b]] += index.impact[a:b]
-        want = {k for k in range(60) if score[k] >= index.threshold[k]}
+    index = L.build(list(range(60)), texts)
+    for n in range(1, 60):
+        terms = np.unique(rng.integers(0, len(index.terms), n))
+        score = scores(index, terms)
         got = dict(L.wand(index, terms))
-        assert set(got) == want
+        assert set(got) == {k for k in range(60) if score[k] >= 1}
         assert all(abs(got[k] - score[k]) < 1e-9 for k in got)
 
 
+def test_blocks_are_skipped():
+    """Posting lists of many blocks: few items are scored, whole blocks are passed over, and nothing is lost."""
+    rng = np.random.default_rng(1)
+    common = " ".join(f"c{k}" for k in range(9))
+    texts = [f"{common} " + " ".join(rng.choice([f"v{k}" for k in range(3000)], 20)) for _ in range(2000)]
+    texts += [" ".join(f"z{j}x{k}" for k in range(10)) + f" c{j} c{j + 1} " + " ".join(f"y{j}x{k}" for k in range(60)) for j in range(8)]
+    index = L.build(list(range(len(texts))), texts)
+    assert np.diff(index.starts).max() > 50 * L.BLOCK
+    hashes, counts = L.words(["c0 c1 c2 c3 " + " ".join(f"z3x{k}" for k in range(10)) + " c3 c4 c5"])
+    at = np.searchsorted(index.terms, L.sequences(hashes, counts, 2)[0]).clip(max=len(index.terms) - 1)
+    terms = np.unique(at[index.terms[at] == L.sequences(hashes, counts, 2)[0]])
+    work = L.Work()
+    got = dict(L.wand(index, terms, work))
+    score = scores(index, terms)
+    assert set(got) == {k for k in range(len(texts)) if score[k] >= 1} and 2003 in got
+    assert work.skipped_blocks > 50 and work.scored < 100
+
+
+def test_a_run_reaches_its_items_threshold():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(30)], int(rng.integers(0, 40)))) for _ in range(80)]
+    index = L.build(list(range(80)), texts)
+    for k, t in enumerate(texts):
+        w = t.split()
+        for a in range(len(w) - L.RUN + 1):
+            found = [x for _, terms in L.passages(index, *L.words([" ".join(["pad", *w[a : a + L.RUN], "end"])])) for x, _ in L.wand(index, terms)]
+            assert k in found
+
+
 def test_too_many_items_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_BYTES", 3)
     df = spark.createDataFrame([(1, "long text")], "item_id long, text string")
