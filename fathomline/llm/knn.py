@@ -5,7 +5,8 @@ cells of its group; a cell is the neighbourhood of a centre, and centres are a h
 that dense regions get more of them. Centres so near that the cells between them would cut a dense region are joined, with
 all that are linked through others, to one cell. Two vectors meet if they share a cell. In a cell, residuals to its mean are rotated and
 kept as one bit a dimension with two correction scalars; from packed bits, inner products are estimated with an error
-bound, and only vectors whose upper bound reaches the threshold and the k-th best so far are compared exactly.
+bound, and only vectors whose upper bound reaches the threshold are compared exactly, and where these are many, only those
+whose upper bound reaches the k-th largest of the lower bounds.
 
 Bounds: the centres of all groups together are at most MAX_CENTRES, and are what is broadcast. A cell that holds more
 than CELL_MOST vectors is split into blocks that meet pairwise, so that no task gets an unbounded group. Equal vectors are
@@ -32,7 +33,7 @@ from fathomline.storage import stage
 CELL_ROWS, CELLS, MAX_CENTRES = 400, 3, 65_536
 #: Centres are joined if, seen from centres that are that similar, pairs at the threshold have residuals of less than this cosine.
 LINKED = 2 / 3
-#: From that share of candidate pairs on, the k-th best of a row is found by a matrix product first.
+#: From that share of candidate pairs on, they are pruned by the k-th best of a row, too.
 DENSE = 0.05
 #: A cell with more rows is split into blocks of that many.
 CELL_MOST = 8192
@@ -125,6 +126,26 @@ class Codes:
         return (dot >= need) | (a < NEAR)[:, None] | (b < NEAR)[None, :]
 
 
+    def bounds(self, rows: slice, planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For these rows, as queries, estimates of the cosines with all rows, and what they may be off by."""
+        packed, step, low = planes
+        d = self.d
+        step, low, a = step[rows], low[rows], self.norm[rows]
+        dot = np.zeros((len(a), len(self.bits)), np.float32)
+        for k in range(4):
+            for w in range(self.bits.shape[1]):
+                dot += np.bitwise_count(packed[k, rows, w][:, None] & self.bits[None, :, w]) * np.float32(1 << k)
+        levels = sum(np.bitwise_count(packed[k, rows]).sum(1, dtype=np.int64) << k for k in range(4))
+        ones = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        # the rotated query under the code's signs: twice its sum under the set bits without its whole sum
+        under = 2 * (step[:, None] * dot + low[:, None] * ones) - (step * levels + d * low)[:, None]
+        inner = under / (math.sqrt(d) * self.scale)
+        both = np.outer(a, self.norm)
+        off = both * (ERRORS * self.error + SLACK / self.scale)
+        off[(a < NEAR)[:, None] | (self.norm < NEAR)[None, :]] = 2
+        return 1 - (a[:, None] ** 2 + self.norm**2) / 2 + both * inner, off
+
+
 def chosen(q: np.ndarray, theirs: np.ndarray, cosine: np.ndarray, k: int, each: int) -> np.ndarray:
     """Which of the links are among each query's k best, of which each chunk (theirs) counts at most each times; ties are kept."""
     order = np.lexsort((-cosine, theirs, q))
@@ -162,10 +183,11 @@ def neighbours(x: np.ndarray, centre: np.ndarray, own: np.ndarray, k: int, each:
         reach = codes.reaching(rows, planes, least - 1e-6)
         single = np.flatnonzero(own[rows] != 0)
         if len(x) > k and len(single) and reach.mean() > DENSE:
-            # rows of one chunk see no others of it, so that their k best are among the k best of all
-            c = x[rows][single] @ x.T
-            c[own[rows][single][:, None] == own[None, :]] = -2
-            reach[single] &= c >= np.partition(c, len(x) - k, axis=1)[:, len(x) - k, None] - 1e-5
+            # rows of one chunk see no others of it, so that their k best are among the k best of all: none of which is
+            # less than the k-th largest of what the others are at least
+            estimate, off = codes.bounds(rows, planes)
+            least_of = np.where(own[rows][single][:, None] == own[None, :], -2, (estimate - off)[single])
+            reach[single] &= (estimate + off)[single] >= np.partition(least_of, len(x) - k, axis=1)[:, len(x) - k, None]
         q, o = np.nonzero(reach)
         q += at
         differ = (q != o) & ((own[q] != own[o]) | (own[q] == 0))

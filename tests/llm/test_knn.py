@@ -114,3 +114,28 @@ def test_recall_with_a_third_of_the_rows_in_one_dense_group(spark, monkeypatch):
     want = {(f"e{min(i, j):04}", f"e{max(i, j):04}") for i in range(len(x)) for j in np.argpartition(-cosine[i], 5)[:5] if cosine[i, j] >= 0.9}
     assert len(got & want) >= 0.99 * len(want) > 5000
     assert len(got - want) <= 0.01 * len(want)
+
+
+@pytest.mark.parametrize("d", [64, 100])
+def test_estimates_hold_their_bounds(d):
+    x = clusters(400, d, 7).astype("f4")
+    codes = K.Codes(x, x.mean(0))
+    estimate, off = codes.bounds(slice(0, len(x)), codes.planes())
+    assert (np.abs(estimate - x @ x.T) <= off + 1e-5).mean() > 0.998
+    assert np.abs(estimate - x @ x.T).mean() < 0.15
+
+
+@pytest.mark.parametrize("n", [600, 2400])
+def test_without_a_threshold_the_bounds_prune(spark, monkeypatch, n):
+    """Plain k nearest: the lower bounds' k-th largest leaves few pairs to compare, and recall holds at both sizes."""
+    x = clusters(n, 64, 9).astype("f4")
+    compared = []
+    whole = np.einsum
+    monkeypatch.setattr(K.np, "einsum", lambda s, a, b: compared.append(len(a)) or whole(s, a, b))
+    found = [(q, o) for qs, os, _ in K.neighbours(x, x.mean(0), np.arange(1, n + 1), 2, 2, -1.0) for q, o in zip(qs.tolist(), os.tolist(), strict=True)]
+    monkeypatch.undo()
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2)
+    want = {(i, j) for i in range(0, n, 4) for j in np.argpartition(-cosine[i], 2)[:2].tolist()}
+    assert len(want & set(found)) >= 0.99 * len(want)
+    assert sum(compared) < 0.8 * n * n
