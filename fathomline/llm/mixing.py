@@ -40,6 +40,10 @@ def tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Rows of rates, one per mix and source, that are broadcast at most.
+MOST_RATES = 100_000
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     """Path and word pattern of a public tokenizer that is installed beside this library."""
     import public_tokenizers
@@ -107,11 +111,14 @@ def rates(found: DataFrame, table: DataFrame, strict: bool = True) -> DataFrame:
     return shared.join(total, "mix_name").withColumn("rate", rate).drop("there")
 
 
-def copies(found: DataFrame, table: DataFrame, strict: bool = True, seed: int = SEED) -> DataFrame:
-    """(mix_name, source, doc_id, tokens, n_copies) of every text that a mix uses at least once."""
+def copies(found: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFrame:
+    """(mix_name, source, doc_id, tokens, n_copies) of every text that a mix uses at least once. rated: as rates gives it.
+
+    Rates are broadcast up to MOST_RATES, and joined by shuffling beyond.
+    """
     unit = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source", "text_hash"), F.lit(1 << 40)) / float(1 << 40)
-    # rates has a row per mix and source: bounded by the table of targets, not by the documents
-    drawn = found.join(F.broadcast(rates(found, table, strict).select("mix_name", "source", "rate", "max_repeats")), "source")
+    few = rated.select("mix_name", "source", "rate", "max_repeats")
+    drawn = found.join(F.broadcast(few) if few.count() <= MOST_RATES else few, "source")
     n = F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
     return drawn.withColumn("n_copies", F.least(n, F.col("max_repeats")).cast("int")).where("n_copies > 0").select("mix_name", "source", "doc_id", "tokens", "n_copies")
 
@@ -119,9 +126,10 @@ def copies(found: DataFrame, table: DataFrame, strict: bool = True, seed: int =
 def mixed(documents: DataFrame, table: DataFrame, vocabulary: tuple[str, str], strict: bool = True, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The copies of each mix, and the report (mix_name, source, target_share, actual_share, rate, tokens, n_texts, n_copies)."""
     found = stage(texts(counted(documents, vocabulary)), "texts")
-    taken = copies(found, table, strict, seed)
+    rated = stage(rates(found, table, strict), "rates")
+    taken = copies(found, rated, seed)
     got = taken.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("n_copies")).alias("tokens"), F.count(F.lit(1)).alias("n_texts"), F.sum("n_copies").alias("n_copies"))
-    wanted = targets(table).join(rates(found, table, strict).select("mix_name", "source", "rate"), ["mix_name", "source"], "left")
+    wanted = targets(table).join(rated.select("mix_name", "source", "rate"), ["mix_name", "source"], "left")
     both = wanted.join(got, ["mix_name", "source"], "left")
     whole = got.groupBy("mix_name").agg(F.sum("tokens").alias("whole"))
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)

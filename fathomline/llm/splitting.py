@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators.skew import left_join
-from fathomline.storage import spread
+from fathomline.storage import spread, stage
 
 #: Size and overlap where there is no valid default row either.
 SIZE, OVERLAP = 578, 102
@@ -31,6 +31,8 @@ SIZE, OVERLAP = 578, 102
 LEAST_SHARE = 0.5
 #: Tenants' configurations are broadcast up to so many (24 bytes each), and joined by shuffling beyond.
 FEW_TENANTS = 500_000
+#: Ids of rows that were delivered again are broadcast up to so many (40 bytes each); beyond, all rows are shuffled.
+FEW_IDS = 1_000_000
 
 # Unicode White_Space: Python's \s has four information separators in addition.
 _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
@@ -60,14 +62,18 @@ def strengths(text: str, spans: np.ndarray) -> np.ndarray:
 
 
 class Strongest:
-    """A sparse table of range maxima: the strongest place of a range, the rightmost among equals."""
+    """A sparse table of range maxima: the strongest place of a range, the rightmost among equals.
 
-    def __init__(self, values: np.ndarray) -> None:
+    longest: the most places of a range that is asked for; longer ranges need no levels.
+    """
+
+    def __init__(self, values: np.ndarray, longest: int | None = None) -> None:
         n = len(values)
         self.n = max(n, 1)
-        self.levels = [values.astype(np.int64) * self.n + np.arange(n)]
+        kind = np.int32 if (int(values.max(initial=0)) + 1) * self.n < 1 << 31 else np.int64
+        self.levels = [values.astype(kind) * kind(self.n) + np.arange(n, dtype=kind)]
         step = 1
-        while 2 * step <= n:
+        while 2 * step <= min(n, longest or n):
             last = self.levels[-1]
             self.levels.append(np.maximum(last[: n - 2 * step + 1], last[step : n - step + 1]))
             step *= 2
@@ -84,7 +90,7 @@ def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int, int, int,
     n = len(spans)
     if n <= size:
         return [(0, n, 0, len(text), 0)]
-    table = Strongest(strengths(text, spans))
+    table = Strongest(strengths(text, spans), size + 1)
     starts = [0, *spans[1:, 0].tolist(), len(text)]
     out, first, new = [], 0, 0
     while True:
@@ -105,6 +111,15 @@ def configurations(configs: DataFrame) -> DataFrame:
     return last.select("tenant_id", F.when(valid, F.col("chunk_size")).cast("int").alias("size"), F.when(valid, F.col("chunk_overlap")).cast("int").alias("overlap"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One row per id. Only rows whose id comes again are moved, as long as such ids are few; which of them is kept isn't defined."""
+    again = stage(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "again")
+    if again.count() > FEW_IDS:
+        return rows.dropDuplicates(["id"])
+    few = F.broadcast(again)
+    return rows.join(few, "id", "left_anti").unionByName(rows.join(few, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def split(chunks: DataFrame, configs: DataFrame, only_oversized: bool = False) -> DataFrame:
     """(id, piece_no, n_pieces, n_words, start, end, new_start, text) of each chunk, in the size in force for its tenant.
 
@@ -117,6 +132,8 @@ def split(chunks: DataFrame, configs: DataFrame, only_oversized: bool = False) -
     base = (default["size"], default["overlap"]) if default else (SIZE, OVERLAP)
     own = force.where(F.col("tenant_id").isNotNull() & F.col("size").isNotNull())
     rows = spread(chunks.select("id", "tenant_id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull()))
+    if not only_oversized:
+        rows = once(rows)
     if own.count() <= FEW_TENANTS:
         held = spark.sparkContext.broadcast({r["tenant_id"]: (r["size"], r["overlap"]) for r in own.collect()})
         rows = rows.withColumn("size", F.lit(None).cast("int")).withColumn("overlap", F.lit(None).cast("int"))
@@ -147,4 +164,4 @@ def split(chunks: DataFrame, configs: DataFrame, only_oversized: bool = False) -
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], named)
 
     found = rows.mapInArrow(cut, "id string, piece_no int, n_pieces int, n_words int, start int, end int, new_start int, text string")
-    return found.dropDuplicates(["id", "piece_no"])
+    return found.dropDuplicates(["id", "piece_no"]) if only_oversized else found

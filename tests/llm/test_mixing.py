@@ -57,3 +57,25 @@ def test_empty(spark, vocabulary):
 def test_parts_are_the_text():
     text = "word  \n" * 100_000
     assert "".join(M.parts(text)) == text and max(map(len, M.parts(text))) <= M.PART
+
+
+def test_shares_against_brute_force(spark, vocabulary):
+    """Rates and copies by plain Python, from the texts and the tokenizer itself."""
+    from math import floor
+
+    encode = M.tokenizer(*vocabulary).encode_ordinary
+    rows = [(k, "abc"[k % 7 % 3], " ".join(f"word{k * j % 97}" for j in range(3 + k % 11))) for k in range(300)]
+    goal = {"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 4)}
+    taken, report = M.mixed(docs(spark, rows), goals(spark, [("m", s, *v) for s, v in goal.items()]), vocabulary)
+    texts = {(s, t): (min(i for i, s2, t2 in rows if (s2, t2) == (s, t)), len(encode(t))) for _, s, t in rows}
+    size = {s: sum(n for (s2, _), (_, n) in texts.items() if s2 == s) for s in goal}
+    total = min(size[s] * cap / share for s, (share, cap) in goal.items())
+    rate = {s: share * total / size[s] for s, (share, _) in goal.items()}
+    got = {(r["source"], r["doc_id"]): r["n_copies"] for r in taken.collect()}
+    for (s, _), (i, _) in texts.items():
+        assert got.get((s, i), 0) in (floor(rate[s] + 1e-9), floor(rate[s] + 1e-9) + (rate[s] % 1 > 1e-9))
+    used = {s: sum(n * got.get((s, i), 0) for (s2, _), (i, n) in texts.items() if s2 == s) for s in goal}
+    for r in report.collect():
+        assert abs(r["rate"] - rate[r["source"]]) < 1e-9 and r["tokens"] == used[r["source"]]
+        assert abs(r["actual_share"] - used[r["source"]] / sum(used.values())) < 1e-12
+        assert abs(r["actual_share"] - goal[r["source"]][0]) < 0.06

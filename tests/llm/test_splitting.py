@@ -67,3 +67,23 @@ def test_long_texts(spark):
     text = "word and more. " * 60_000
     parts = S.pieces(text, 500, 50)
     assert "".join(text[new:end] for *_, end, new in parts) == text
+
+
+def test_memory_follows_the_window():
+    table = S.Strongest(np.zeros(1_000_000, np.int64), 600)
+    assert sum(x.nbytes for x in table.levels) < 45 << 20 and len(table.levels) == 10
+    assert table.place(100, 700) == 699
+
+
+def test_rows_that_come_again_are_split_once(spark, monkeypatch):
+    text = " ".join(f"w{k}." for k in range(40))
+    rows = [("a", None, text), ("a", None, text + " and more"), ("b", None, text), ("b", None, text), ("c", None, "short")]
+    config = [(1, None, 10, 2, 1, None)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, text string")
+    c = spark.createDataFrame(config, "config_id int, tenant_id string, chunk_size int, chunk_overlap int, min_chunk_size int, updated_at timestamp")
+    for few in (S.FEW_IDS, 0):
+        monkeypatch.setattr(S, "FEW_IDS", few)
+        got = S.split(df, c).collect()
+        for i in "abc":
+            mine = sorted((r["piece_no"], r["n_pieces"]) for r in got if r["id"] == i)
+            assert [k for k, _ in mine] == list(range(mine[0][1]))
