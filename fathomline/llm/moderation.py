@@ -673,9 +673,10 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         m = held.value
         for batch in batches:
             raw, which = worst(batch.column("text").to_pylist(), m)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(m.probability(raw)), pa.array(which, pa.string())], ["doc_id", "source", "score", "passage"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(m.probability(raw)), pa.array(which, pa.string()), batch.column("nameless")], ["doc_id", "source", "score", "passage", "nameless"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    found = spread(rows).mapInArrow(score, "doc_id long, source string, score double, passage string")
-    known = found.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(found.where("doc_id is null"))
+    key = F.col("doc_id").cast("long")
+    # rows without an id have a number instead, so that none of them is taken for another
+    rows = documents.select(key.alias("doc_id"), "source", "text", F.when(key.isNull(), F.monotonically_increasing_id()).alias("nameless"))
+    found = spread(rows).mapInArrow(score, "doc_id long, source string, score double, passage string, nameless long")
+    return found.dropDuplicates(["doc_id", "nameless"]).drop("nameless")
