@@ -10,6 +10,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 #: A slide name whose number can't be read sorts last.
 NO_NUMBER = 4294967295
 MOST_BLOB_BYTES = 1 << 20
+# The named entities in the order in which they are replaced, and media types by extension.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "emf": "image/emf", "wmf": "image/wmf"}
 
 
 def sanitize(text: Column) -> Column:
@@ -46,7 +49,7 @@ def is_meaningful(text: Column) -> Column:
 
 def unescape_xml(text: Column) -> Column:
     """The five named entities, &amp; first: a doubly escaped one is unescaped twice."""
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
@@ -112,7 +115,5 @@ def fits_blob(text: Column) -> Column:
 
 def content_type(name: Column) -> Column:
     """The type of a media file by what follows the last dot of its name."""
-    # Fixed values.
-    known = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "emf": "image/emf", "wmf": "image/wmf"}
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in MEDIA_TYPES.items() for x in pair))
     return F.coalesce(F.try_element_at(table, F.lower(F.element_at(F.split(name, r"\."), -1))), F.lit("application/octet-stream"))

@@ -21,6 +21,23 @@ def is_video_host(url: Column) -> Column:
     return F.coalesce(F.lower(part(url, "HOST")).isin("www.youtube.com", "youtube.com", "youtu.be"), F.lit(False))
 
 
+def looks_like_video(url: Column) -> Column:
+    """The first, cheap test of a request: one of the hosts' names occurs in the text. is_video_host decides."""
+    return F.coalesce(F.lower(url).contains("youtube.com") | F.lower(url).contains("youtu.be"), F.lit(False))
+
+
+def redacted(url: Column) -> Column:
+    """Host, port and path of a store's address, without user, password and parameters; null stays null, and what is no address is hidden whole."""
+    shown = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^?#@]*)", 1)
+    return F.when(url.isNotNull(), F.when(F.length(shown) > 0, shown).otherwise(F.lit("hidden")))
+
+
+def bearer(header: Column) -> Column:
+    """The token of an Authorization header 'Bearer ...', null if it is none or blank."""
+    token = F.trim(F.regexp_extract(header, r"(?i)^\s*bearer\s+(.*)$", 1))
+    return F.when(F.length(token) > 0, token)
+
+
 def video_id(url: Column) -> Column:
     """The id of a video's URL, null for other hosts or if it is missing."""
     host = F.lower(part(url, "HOST"))

@@ -77,6 +77,8 @@ def scored(df: DataFrame, vector: str, query: list[float]) -> DataFrame:
 def best_of(df: DataFrame, key: str, vector: str, queries: list[tuple[object, list[float]]], k: int, keep: tuple[str, ...] = (), query_type: str = "string") -> DataFrame:
     """(query_id, key, *keep, similarity): of each batch the k best keys for each query, all ties of the k-th included.
 
+    Blocks of queries meet a batch in one matrix product, and give one batch of hits.
+
     A partial top-k before any shuffle. A key that comes again in a batch counts once; one that comes again in another
     batch has the same score, so that the best k of what is left, without repeated keys, are the best k of all.
     """
@@ -96,11 +98,16 @@ def best_of(df: DataFrame, key: str, vector: str, queries: list[tuple[object, li
                 codes = batch.column(key).take(pa.array(at)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 _, first = np.unique(codes, return_index=True)
                 at, x = at[first], x[first]
-                for name, q in asked:
-                    s = np.einsum("ij,j->i", x, q)
-                    best = np.flatnonzero(s >= (np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0))
+                ids, q = [name for name, _ in asked], np.stack([v for _, v in asked])
+                height = max(1, 4_000_000 // len(x))
+                for i in range(0, len(ids), height):
+                    s = q[i : i + height] @ x.T
+                    least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else np.full((len(s), 1), -2.0)
+                    # products of matrices of different shapes differ in their last bits: what is near the k-th is kept and scored alike
+                    of, best = np.nonzero(s >= least - 1e-9)
+                    exact = np.einsum("ij,ij->i", x[best], q[i + of])
                     rows = batch.select(kept).take(pa.array(at[best]))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), names), *rows.columns, pa.array(s[best])], ["query_id", *kept, "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i + j] for j in of.tolist()], names), *rows.columns, pa.array(exact)], ["query_id", *kept, "similarity"])
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     return df.select(*kept, vector).mapInArrow(search, f"query_id {query_type}, {types}, similarity double")

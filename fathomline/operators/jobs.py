@@ -20,6 +20,19 @@ MILESTONES = {"file_processing": (0.2,), "url_extraction": (0.1, 0.3, 0.6), "you
 _STATE = "struct<status:string,progress:double,started_at:timestamp,completed_at:timestamp,error:string>"
 
 
+def milestones(starts: DataFrame, pause_s: int = 1) -> DataFrame:
+    """Progress events (key, id, at, kind, value, message) of the jobs that start: starts has (key, at, job_type).
+
+    Each type's MILESTONES, pause_s apart, after the start itself. Types without any give the start only.
+    """
+    kind = S.job_type(F.col("job_type"))
+    none = F.array().cast("array<double>")
+    values = F.coalesce(*(F.when(kind == k, F.array(*map(F.lit, v))) for k, v in MILESTONES.items()), none)
+    steps = F.concat(F.array(F.lit(None).cast("double")), values)
+    rows = starts.where(F.col("key").isNotNull() & F.col("at").isNotNull()).select("key", "at", F.posexplode(steps).alias("n", "value"))
+    return rows.select("key", F.col("n").cast("bigint").alias("id"), (F.col("at") + F.make_dt_interval(secs=F.col("n") * pause_s)).alias("at"), F.when(F.col("n") == 0, "start").otherwise("progress").alias("kind"), "value", F.lit(None).cast("string").alias("message"))
+
+
 def step(state: Column, event: Column) -> Column:
     """The state after an event with kind, at, value and message."""
     kind, status = event["kind"], state["status"]

@@ -41,6 +41,39 @@ def by_ids(df: DataFrame, tenant: str | None, ids: Sequence[str]) -> DataFrame:
     return rows.join(wanted, "id", "left_semi")
 
 
+def by_hash(files: DataFrame, tenant: str | None, hashes: DataFrame) -> DataFrame:
+    """(file_hash, file_id): the tenant's oldest file of each of hashes (file_hash) that has one. Hashes are compared in lower case."""
+    asked = hashes.where(F.col("file_hash").isNotNull()).select(F.lower("file_hash").alias("file_hash")).distinct()
+    held = scope(files, tenant).where(F.col("file_hash").isNotNull()).select(F.lower("file_hash").alias("file_hash"), "created_at", "id").join(asked, "file_hash", "left_semi")
+    return held.groupBy("file_hash").agg(F.min_by("id", F.struct(F.col("created_at").isNull(), "created_at", "id")).alias("file_id"))
+
+
+def checked_embedding(embeddings: DataFrame, tenant: str | None, key: str) -> DataFrame:
+    """(id, content_chunk_id, embedding, error): one embedding; one without a vector or chunk has an error instead of being returned as whole."""
+    error = F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), F.lit("no vector")).when(F.col("content_chunk_id").isNull(), F.lit("no chunk"))
+    return by_id(embeddings, tenant, key).select("id", "content_chunk_id", "embedding", error.alias("error"))
+
+
+def asset_of_file(assets: DataFrame, tenant: str | None, file: str, key: str) -> DataFrame:
+    """An asset, only if it belongs to that file."""
+    return by_id(scope(assets, tenant).where(F.col("file_id") == file), None, key)
+
+
+def create_keys(keys: DataFrame, tenants: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The keys to add for requests (tenant_id, name, raw_key), and a summary (id, tenant_id, name, key_prefix, created_at) of each.
+
+    Only for active tenants, only with a name that isn't blank, which is trimmed; a key that exists already is left out. The
+    raw key isn't kept: only its hash and its first 16 characters are.
+    """
+    live = tenants.where("is_active").select(F.col("id").alias("tenant_id"))
+    name = F.regexp_replace("name", r"(?U)^\s+|\s+$", "")
+    good = requests.where(F.col("raw_key").isNotNull() & (F.length(name) > 0)).join(live, "tenant_id", "left_semi")
+    digest = F.sha2(F.col("raw_key").cast("binary"), 256)
+    new = good.select(F.substring(digest, 1, 32).alias("id"), "tenant_id", digest.alias("key_hash"), F.substring("raw_key", 1, 16).alias("key_prefix"), name.alias("name"), F.lit(None).cast("timestamp").alias("last_used_at"), F.lit(None).cast("timestamp").alias("revoked_at"), now.alias("created_at"))
+    new = new.dropDuplicates(["key_hash"]).join(keys.select("key_hash"), "key_hash", "left_anti").select(*new.columns)
+    return new, new.select("id", "tenant_id", "name", "key_prefix", "created_at")
+
+
 def page(df: DataFrame, skip: int, limit: int, *order: Column) -> DataFrame:
     """Rows skip to skip + limit in that order, then by id: a top-k, not a sort of the table."""
     return df.orderBy(*order, "id").offset(max(skip, 0)).limit(limit)

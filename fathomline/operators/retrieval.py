@@ -10,10 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import vectors as V
+from fathomline.operators.embedding import Provider
+from fathomline.operators.relational import scope
 from fathomline.storage import spread, stage
 
 #: What a threshold that isn't given stands for: any cosine.
@@ -30,29 +32,53 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def scores(embeddings: DataFrame, query: list[float], threshold: float | None = None) -> DataFrame:
-    """(id, content_chunk_id, similarity) of the usable embeddings from the threshold on, which is a 4-byte number.
+def narrowed(similarity: Column) -> Column:
+    """A similarity as it is reported: a 4-byte number. Hits are ranked and compared before that."""
+    return similarity.cast("float")
+
+
+def scores(embeddings: DataFrame, query: list[float], threshold: float | None = None, tenant: str | None = None) -> DataFrame:
+    """(id, content_chunk_id, similarity) of the tenant's usable embeddings from the threshold on, which is a 4-byte number.
+
+    No tenant: those of all, as a manager of the whole service searches.
 
     Embeddings that are delivered again count once: they are dropped after scoring, when no vector has to be moved.
     """
     least = F.lit(ANY if threshold is None else threshold).cast("float").cast("double")
-    rows = spread(embeddings.where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
+    rows = spread(scope(embeddings, tenant).where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
     return V.scored(rows, "embedding", query).where(F.col("similarity") >= least).dropDuplicates(["id"])
 
 
-def similarity_search(embeddings: DataFrame, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
-    """(id, content_chunk_id, similarity) of the limit best hits. Each batch keeps its best before anything is shuffled."""
+def similarity_search(embeddings: DataFrame, query: list[float], limit: int = 10, threshold: float | None = None, tenant: str | None = None) -> DataFrame:
+    """(id, content_chunk_id, similarity) of the tenant's limit best hits. Each batch keeps its best before anything is shuffled."""
     check_limit(limit)
     least = F.lit(ANY if threshold is None else threshold).cast("float").cast("double")
-    rows = spread(embeddings.where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
+    rows = spread(scope(embeddings, tenant).where(F.col("content_chunk_id").isNotNull() & F.col("embedding").isNotNull()).select("id", "content_chunk_id", "embedding"))
     best = V.best_of(rows, "id", "embedding", [("q", query)], limit, ("content_chunk_id",)).drop("query_id").dropDuplicates(["id"])
     return best.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def search_in_file(embeddings: DataFrame, chunks: DataFrame, file: str, query: list[float], limit: int = 10, threshold: float | None = None) -> DataFrame:
-    """The limit best hits among a file's chunks."""
-    own = chunks.where(F.col("file_id") == file).select(F.col("id").alias("content_chunk_id")).distinct()
-    return scores(embeddings, query, threshold).join(own, "content_chunk_id", "left_semi").orderBy(F.desc("similarity"), "id").limit(check_limit(limit))
+def search_in_file(embeddings: DataFrame, chunks: DataFrame, file: str, query: list[float], limit: int = 10, threshold: float | None = None, tenant: str | None = None) -> DataFrame:
+    """The limit best hits among the chunks of one of the tenant's files."""
+    own = scope(chunks, tenant).where(F.col("file_id") == file).select(F.col("id").alias("content_chunk_id")).distinct()
+    return scores(embeddings, query, threshold, tenant).join(own, "content_chunk_id", "left_semi").orderBy(F.desc("similarity"), "id").limit(check_limit(limit))
+
+
+def query_vector(text: str, provider: Provider) -> list[float]:
+    """The vector of a query's text; an error for blank texts, and if the provider gives none."""
+    if not text or not text.strip():
+        raise ValueError("the query has no text")
+    found = provider.embed([text])
+    if not found or not len(found[0]):
+        raise ValueError("no vector came back for the query")
+    return [float(x) for x in found[0]]
+
+
+def text_search(text: str, provider: Provider, embeddings: DataFrame, chunks: DataFrame, files: DataFrame, assets: DataFrame, tenant: str, now: Column, limit: int = 10, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """A search by text within a tenant: the grouped documents, and the row to append to the search log."""
+    hits = similarity_search(embeddings, query_vector(text, provider), limit, threshold, tenant)
+    documents = hydrate_and_group(hits, scope(chunks, tenant), scope(files, tenant), scope(assets, tenant))
+    return documents, audit_row(documents, tenant, text, now)
 
 
 def batch_search(embeddings: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

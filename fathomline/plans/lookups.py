@@ -69,10 +69,47 @@ def file_find_by_ids(spark: SparkSession, root: str) -> DataFrame:
     return P.files(spark, root).join(wanted, "id", "left_semi").select("id", "file_name", "status")
 
 
-@query(sql("f", " SELECT file_hash, count(*) AS n_files, min(id) AS first_id FROM f WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1"))
+@query(sql("f", ", r AS (SELECT lower(file_hash) AS file_hash, id, row_number() OVER (PARTITION BY lower(file_hash) ORDER BY created_at NULLS LAST, id) AS r FROM f WHERE file_hash IS NOT NULL AND tenant_id = (SELECT tenant_id FROM f WHERE file_hash IS NOT NULL ORDER BY id LIMIT 1)) SELECT file_hash, id AS file_id FROM r WHERE r = 1"))
 def file_find_by_hash(spark: SparkSession, root: str) -> DataFrame:
-    rows = P.files(spark, root).where(F.col("file_hash").isNotNull()).groupBy("file_hash").agg(F.count(F.lit(1)).alias("n_files"), F.min("id").alias("first_id"))
-    return rows.where("n_files > 1")
+    """A tenant's files by content: all known digests, written in capitals, and one that nothing has."""
+    f = P.files(spark, root)
+    tenant = f.where(F.col("file_hash").isNotNull()).agg(F.min_by("tenant_id", "id").alias("t")).first()["t"]
+    asked = f.select(F.upper("file_hash").alias("file_hash")).unionByName(spark.createDataFrame([("0" * 64,), (None,)], "file_hash string"))
+    return R.by_hash(f, tenant, asked)
+
+
+@query(sql("c", " SELECT id, file_id, chunk_index, sha256(chunk_text) AS digest FROM c WHERE id = (SELECT min(id) FROM c)"))
+def chunk_by_id(spark: SparkSession, root: str) -> DataFrame:
+    key = least(read(spark, root, "content_chunks"), "id")
+    return R.by_id(P.table(spark, root, "content_chunks", F.col("id") == key), None, key).select("id", "file_id", "chunk_index", T.sha256(F.col("chunk_text")).alias("digest"))
+
+
+@query(sql("e", ", k AS (SELECT min(id) AS id FROM e UNION ALL SELECT min(id) FROM e WHERE embedding IS NULL UNION ALL SELECT min(id) FROM e WHERE embedding IS NOT NULL AND content_chunk_id IS NULL) SELECT id, CASE WHEN embedding IS NULL OR len(embedding) = 0 THEN 'no vector' WHEN content_chunk_id IS NULL THEN 'no chunk' END AS error FROM e WHERE id IN (SELECT id FROM k)"))
+def embedding_by_id_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Three lookups: of a whole embedding, of one without a vector, of one without a chunk."""
+    e = P.embeddings(spark, root)
+    keys = e.agg(F.min("id").alias("a"), F.min(F.when(F.col("embedding").isNull(), F.col("id"))).alias("b"), F.min(F.when(F.col("embedding").isNotNull() & F.col("content_chunk_id").isNull(), F.col("id"))).alias("c")).first()
+    found = [R.checked_embedding(e, None, k).select("id", "error") for k in dict.fromkeys(k for k in keys if k is not None)]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@query(sql("j", " SELECT id, file_id, lower(trim(job_type)) AS job_type FROM j WHERE id = (SELECT max(id) FROM j)"))
+def job_by_id(spark: SparkSession, root: str) -> DataFrame:
+    j = P.jobs(spark, root)
+    key = j.agg(F.max("id").alias("x")).first()["x"]
+    return R.by_id(j, None, key).select("id", "file_id", S.job_type(F.col("job_type")).alias("job_type"))
+
+
+@query(sql("a", ", k AS (SELECT id, file_id FROM a WHERE file_id IS NOT NULL ORDER BY id LIMIT 1) SELECT a.id, a.file_id, a.storage_key FROM a, k WHERE a.id = k.id AND a.file_id = k.file_id"))
+def asset_of_file(spark: SparkSession, root: str) -> DataFrame:
+    """An asset by its id and its file's; with another file's there is none."""
+    a = P.assets(spark, root)
+    first = a.where(F.col("file_id").isNotNull()).agg(F.min_by(F.struct("id", "file_id"), "id").alias("r")).first()["r"]
+    wrong = R.asset_of_file(a, None, "another file", first["id"])
+    return R.asset_of_file(a, None, first["file_id"], first["id"]).unionByName(wrong).select("id", "file_id", "storage_key")
 
 
 @query(sql("f", ", old AS (SELECT * FROM f WHERE created_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'), new AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, file_hash ORDER BY id) AS r FROM f WHERE NOT coalesce(created_at < TIMESTAMPTZ '2024-07-01 00:00:00+00', FALSE)) SELECT id, tenant_id, file_hash FROM new WHERE (file_hash IS NULL OR r = 1) AND NOT EXISTS (SELECT 1 FROM old WHERE old.tenant_id = new.tenant_id AND old.file_hash = new.file_hash)"))
@@ -247,3 +284,11 @@ def metadata_merge(spark: SparkSession, root: str) -> DataFrame:
     new = F.create_map(F.lit("language"), F.lit("und"), F.lit("checked"), F.lit("true"))
     both = M.merged(M.as_map(F.col("metadata")), new)
     return P.files(spark, root).select("id", F.size(both).alias("n_keys"), F.element_at(both, "language").alias("language"))
+
+
+@query(sql("kn", ", r AS (SELECT id, tenant_id, trim(name) || ' ' AS name, 'pk_live_' || sha256(key_hash) AS raw FROM k) SELECT substr(sha256(raw), 1, 32) AS id, r.tenant_id, trim(r.name) AS name, substr(raw, 1, 16) AS key_prefix FROM r JOIN n ON n.id = r.tenant_id WHERE n.is_active AND trim(r.name) <> ''"))
+def create_api_keys(spark: SparkSession, root: str) -> DataFrame:
+    """New keys for tenants, told as a summary: only of active tenants, names trimmed, the key itself not kept."""
+    k = P.api_keys(spark, root)
+    asked = k.select("tenant_id", F.concat("name", F.lit(" ")).alias("name"), F.concat(F.lit("pk_live_"), T.sha256(F.col("key_hash"))).alias("raw_key"))
+    return R.create_keys(k, P.nations(spark, root), asked, F.timestamp_micros(F.lit(1709251200000000)))[1].select("id", "tenant_id", "name", "key_prefix")

@@ -244,3 +244,84 @@ def embed_local(spark: SparkSession, root: str) -> DataFrame:
     c = P.table(spark, root, "content_chunks").select("id", "chunk_text")
     e = embedded(c, HashProvider)
     return e.select("id", F.size("embedding").alias("dimension"), "model_name", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"))
+
+
+# Texts as one line of words, without control characters; what is put into files and must come out of them again.
+_LINE = "array_to_string({}, ' ')".format(_w(r"regexp_replace(text, '[\x{01}-\x{08}\x{0E}-\x{1F}\x{7F}]', '', 'g')"))
+_ASCII = "regexp_replace(regexp_replace({}, '[^ -~]', '', 'g'), ' +', ' ', 'g')".format(_LINE)
+
+
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0E-\x1F\x7F]", "")
+    return read(spark, root, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.array_join(T.words(clean), " ").alias("line"))
+
+
+def _extracted(lines: DataFrame, mime: str, wrap) -> DataFrame:
+    """(id, format, n_pages, digest): the lines made to files, extracted, and their words joined again."""
+    made = F.pandas_udf(lambda s: pd.Series([wrap(x) for x in s]), "binary")
+    files = lines.select("id", F.lit(mime).alias("file_type"), made("line").alias("content"))
+    return X.extract(files).select("id", "format", F.size("pages").alias("n_pages"), T.sha256(F.array_join(T.words(F.col("full_text")), " ")).alias("digest"), "error_code")
+
+
+def _extraction_sql(name: str, pages: str, line: str = _LINE) -> str:
+    return f"SELECT doc_id::VARCHAR AS id, '{name}' AS format, {pages}::INT AS n_pages, sha256({line}) AS digest, NULL::VARCHAR AS error_code FROM documents WHERE text IS NOT NULL"
+
+
+@query(_extraction_sql("text", "0"))
+def extract_plain(spark: SparkSession, root: str) -> DataFrame:
+    return _extracted(_lines(spark, root), "text/plain", lambda x: x.encode())
+
+
+@query(_extraction_sql("html", "0"))
+def html_to_text(spark: SparkSession, root: str) -> DataFrame:
+    """Pages whose head has no end tag, with markup and a script around the text."""
+    return _extracted(_lines(spark, root), "text/html", lambda x: f"<html><head><title>t</title><body><div><p>{escape(x)}</p></div><script>no();</script></body></html>".encode())
+
+
+@query(_extraction_sql("docx", "1"))
+def extract_word(spark: SparkSession, root: str) -> DataFrame:
+    """The text in two runs, the second within a hyperlink."""
+    from fathomline.sources.formats.office import _W
+
+    def wrap(x: str) -> bytes:
+        at = len(x) // 2
+        return _archive({"word/document.xml": f'<w:document xmlns:w="{_W[1:-1]}"><w:body><w:p><w:r><w:t xml:space="preserve">{escape(x[:at])}</w:t></w:r><w:hyperlink><w:r><w:t xml:space="preserve">{escape(x[at:])}</w:t></w:r></w:hyperlink></w:p></w:body></w:document>'})
+
+    return _extracted(_lines(spark, root), "application/vnd.openxmlformats-officedocument.wordprocessingml.document", wrap)
+
+
+@query(_extraction_sql("pptx", "2"))
+def extract_slides(spark: SparkSession, root: str) -> DataFrame:
+    """The words on two slides, which are stored in the other order."""
+
+    def wrap(x: str) -> bytes:
+        words = x.split(" ")
+        parts = " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
+        return _archive({f"ppt/slides/slide{n}.xml": f"<p:sld><a:t>{escape(part)}</a:t></p:sld>" for n, part in ((10, parts[1]), (9, parts[0]))})
+
+    return _extracted(_lines(spark, root), "application/vnd.openxmlformats-officedocument.presentationml.presentation", wrap)
+
+
+def _pdf(text: str) -> bytes:
+    """A document of one page that shows text."""
+    import zlib
+
+    shown = text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+    raw = zlib.compress(f"BT /F1 12 Tf 72 700 Td ({shown}) Tj ET".encode("latin-1"))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [4 0 R] /Count 1 >>", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources << /Font << /F1 3 0 R >> >> >>", b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(raw) + raw + b"\nendstream"]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % k + o + b"\nendobj\n" for k, o in enumerate(objects, 1)) + b"%%EOF"
+
+
+@query(_extraction_sql("pdf", "1", f"CASE WHEN trim({_ASCII}) = '' THEN '[Page 1: No extractable text found - may contain images or corrupted text]' ELSE trim({_ASCII}) END"))
+def extract_pdf(spark: SparkSession, root: str) -> DataFrame:
+    """The text's printable ASCII as a PDF of one page; a page without any says so."""
+    ascii_ = F.trim(F.regexp_replace(F.regexp_replace("line", "[^ -~]", ""), " +", " "))
+    return _extracted(_lines(spark, root).withColumn("line", ascii_), "application/pdf", _pdf)
+
+
+@query(sql("f", " SELECT id, contains(lower(file_path), 'youtube.com') OR contains(lower(file_path), 'youtu.be') AS looks, regexp_extract('postgres://user:secret@' || regexp_replace(file_path, '^[a-z]+://', '') || '?sslmode=on', '^[a-z]+://(?:[^/@]*@)?([^?#@]*)', 1) AS shown, CASE WHEN trim(file_name) <> '' THEN trim(file_name) END AS token FROM f WHERE file_path IS NOT NULL AND file_name IS NOT NULL AND NOT contains(file_path, '@') AND NOT contains(file_path, '?') AND NOT contains(file_path, '#')"))
+def request_checks(spark: SparkSession, root: str) -> DataFrame:
+    """The first test of a video's address, an address of a store without its secrets, and the token of a header."""
+    f = P.files(spark, root).where(F.col("file_path").isNotNull() & F.col("file_name").isNotNull() & ~F.col("file_path").rlike("[@?#]"))
+    address = F.concat(F.lit("postgres://user:secret@"), F.regexp_replace("file_path", "^[a-z]+://", ""), F.lit("?sslmode=on"))
+    return f.select("id", U.looks_like_video(F.col("file_path")).alias("looks"), U.redacted(address).alias("shown"), U.bearer(F.concat(F.lit("Bearer "), "file_name")).alias("token"))

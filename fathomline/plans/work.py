@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import status as S
 from fathomline.functions import times
+from fathomline.operators import ingestion as I
 from fathomline.operators import jobs as J
 from fathomline.operators import relational as R
 from fathomline.plans import tables as P
@@ -17,6 +18,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: What time-dependent operators take as the present: 2025-01-15.
 AS_OF = 1736899200000000
+# Unicode White_Space in DuckDB's regular expressions.
+_SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _NOW = "TIMESTAMPTZ '2025-01-15 00:00:00+00'"
 
 
@@ -142,3 +145,106 @@ def pending_queue(spark: SparkSession, root: str) -> DataFrame:
     j = J.active(P.jobs(spark, root)).where(S.normal(F.col("status")) == "pending")
     w = Window.partitionBy("tenant_id").orderBy(R.oldest(), "id")
     return j.select("id", F.row_number().over(w).alias("position"), F.substring(times.rfc3339(F.col("created_at")), 1, 7).alias("month"))
+
+
+# Requests made of the files: every fifth has a name that isn't safe.
+_REQUESTS = ", r AS (SELECT id AS request_id, tenant_id, CASE WHEN abs(file_size) % 5 = 0 THEN '../' || file_name ELSE file_name END AS file_name FROM f)"
+_SAFE = f"length(regexp_replace(file_name, '{_SPACE}', '', 'g')) > 0 AND NOT contains(file_name, '/') AND NOT contains(file_name, '..')"
+
+
+def _requests(spark: SparkSession, root: str) -> DataFrame:
+    name = F.when(F.abs("file_size") % 5 == 0, F.concat(F.lit("../"), "file_name")).otherwise(F.col("file_name"))
+    return P.files(spark, root).select(F.col("id").alias("request_id"), "tenant_id", name.alias("file_name"), "file_type", "file_size", "file_hash", (F.col("status") == "pending").alias("process"), "created_at")
+
+
+@query(sql("f", f"{_REQUESTS} SELECT request_id, CASE WHEN NOT coalesce({_SAFE}, FALSE) THEN 'invalid_file_name' WHEN tenant_id IS NULL THEN 'invalid_request' END AS error, CASE WHEN coalesce({_SAFE}, FALSE) AND tenant_id IS NOT NULL THEN 'pending' END AS status FROM r"))
+def upload_request(spark: SparkSession, root: str) -> DataFrame:
+    """Requests for an upload: the pending file of each, or why there is none."""
+    return I.request_upload(_requests(spark, root), _now()).select("request_id", "error", F.col("file.processing_status").alias("status"))
+
+
+@query(sql("fj", f", u AS (SELECT id AS file_id FROM f WHERE status = 'pending' UNION SELECT file_id FROM j WHERE file_id IS NOT NULL), b AS (SELECT DISTINCT file_id FROM j WHERE {_STATUS} IN ('pending', 'processing')) SELECT u.file_id, CASE WHEN f.id IS NULL THEN 'missing' WHEN b.file_id IS NOT NULL THEN 'already_queued' ELSE 'queued' END AS outcome FROM u LEFT JOIN (SELECT DISTINCT id FROM f) f ON f.id = u.file_id LEFT JOIN b ON b.file_id = u.file_id"))
+def upload_complete(spark: SparkSession, root: str) -> DataFrame:
+    """Uploads said to be complete, of pending files and of the files that jobs name."""
+    f, j = P.files(spark, root), P.jobs(spark, root)
+    said = f.where("status = 'pending'").select(F.col("id").alias("file_id")).unionByName(j.select("file_id"))
+    return I.complete_upload(f, j, said, _now())[0]
+
+
+@query(sql("f", f""", old AS (SELECT DISTINCT tenant_id, file_hash FROM f WHERE file_hash IS NOT NULL AND created_at < TIMESTAMPTZ '2024-07-01 00:00:00+00'),
+r AS (SELECT id AS request_id, tenant_id, CASE WHEN abs(file_size) % 5 = 0 THEN '../' || file_name ELSE file_name END AS file_name, file_hash, status = 'pending' AS process FROM f WHERE NOT coalesce(created_at < TIMESTAMPTZ '2024-07-01 00:00:00+00', FALSE)),
+x AS (SELECT r.*, CASE WHEN NOT coalesce({_SAFE}, FALSE) THEN 'invalid_file_name' WHEN r.tenant_id IS NULL THEN 'invalid_request' END AS error FROM r),
+y AS (SELECT x.*, old.file_hash IS NOT NULL AS held, row_number() OVER (PARTITION BY CASE WHEN error IS NULL THEN x.tenant_id END, x.file_hash ORDER BY request_id) > 1 AND x.file_hash IS NOT NULL AND error IS NULL AS again FROM x LEFT JOIN old ON old.tenant_id = CASE WHEN error IS NULL THEN x.tenant_id END AND old.file_hash = x.file_hash)
+SELECT outcome, count(*) AS n FROM (SELECT coalesce(error, CASE WHEN held OR again THEN 'duplicate' WHEN coalesce(process, FALSE) THEN 'queued' ELSE 'uploaded' END) AS outcome FROM y) GROUP BY 1"""))
+def upload_with_processing(spark: SparkSession, root: str) -> DataFrame:
+    """Uploads of the files of the second half of the time, where the tenant holds the first: outcomes counted."""
+    f = P.files(spark, root)
+    before = F.coalesce(F.col("created_at") < F.timestamp_micros(F.lit(1719792000000000)), F.lit(False))
+    told, _, _ = I.upload_with_processing(f.where(before), _requests(spark, root).where(~before), P.jobs(spark, root), _now())
+    return told.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("fj", f""", r AS (SELECT file_id, min(CASE WHEN {sql_status('j.status')} = 'failed' THEN coalesce(error_message, 'unknown') END) AS error FROM j WHERE file_id IS NOT NULL GROUP BY 1)
+SELECT r.file_id, CASE WHEN f.id IS NULL THEN 'missing' WHEN NOT coalesce(f.status = 'pending', FALSE) THEN 'not_processable' WHEN error IS NOT NULL THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN f.status = 'pending' THEN error END AS message FROM r LEFT JOIN f ON f.id = r.file_id"""))
+def process_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files after their processing: only pending ones change."""
+    j = P.jobs(spark, root)
+    results = j.select("file_id", F.when(S.normal(F.col("status")) == "failed", F.coalesce("error_message", F.lit("unknown"))).alias("error"))
+    return I.process(P.files(spark, root), results, _now())[0]
+
+
+@query(sql("j", f", x AS (SELECT *, lower(trim(job_type)) AS k FROM j WHERE started_at IS NOT NULL) SELECT id AS key, n::BIGINT AS n_events, last FROM (SELECT id, CASE k WHEN 'file_processing' THEN 2 WHEN 'url_extraction' THEN 4 WHEN 'youtube_extraction' THEN 4 ELSE 1 END AS n, CASE k WHEN 'file_processing' THEN 0.2::DOUBLE WHEN 'url_extraction' THEN 0.6::DOUBLE WHEN 'youtube_extraction' THEN 0.6::DOUBLE END AS last FROM x)"))
+def job_milestones(spark: SparkSession, root: str) -> DataFrame:
+    """The progress events of each job that has started."""
+    starts = P.jobs(spark, root).select(F.col("id").alias("key"), F.col("started_at").alias("at"), "job_type")
+    return J.milestones(starts).groupBy("key").agg(F.count(F.lit(1)).alias("n_events"), F.max("value").alias("last"))
+
+
+@query(sql("j", f", x AS (SELECT id AS key, lower(trim(job_type)) AS k FROM j WHERE {_STATUS} = 'pending') SELECT key, CASE WHEN k = 'url_extraction' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN k = 'url_extraction' THEN 'no page' END AS error FROM x"))
+def stream_ingest_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """Pending jobs worked through by a durable queue, and their states by the fold of its events."""
+    from fathomline.storage import new_folder
+    from fathomline.streaming import jobs as stream
+
+    handle = lambda df: df.select("id", F.when(S.job_type(F.col("job_type")) == "url_extraction", "no page").alias("error"))
+    events = stream.work_queue(stream.read_stream(spark, root, "processing_jobs"), handle, new_folder(spark, "queue"))
+    return J.fold(events).select("key", "status", "error")
+
+
+@query(sql("v", ", x AS (SELECT DISTINCT key FROM v WHERE kind IS NOT NULL AND tm IS NOT NULL) SELECT key, 'status' AS event FROM x UNION ALL SELECT 'no such job', 'error'"))
+def stream_watch_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """What watchers of all jobs, and of one that isn't there, are told by a stream of job events."""
+    from fathomline.storage import new_folder
+    from fathomline.streaming import jobs as stream
+
+    events = read(spark, root, "events")
+    wanted = P.job_events(events).where("kind is not null").select("key").unionByName(spark.createDataFrame([("no such job",)], "key string"))
+    updates = stream.updates_of(P.job_events(stream.read_stream(spark, root, "events")), new_folder(spark, "watch"))
+    return stream.watch(updates, wanted).select("key", "event").distinct()
+
+
+@query(f"WITH p AS ({_FOLD}) SELECT count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'processing') AS n_processing FROM p")
+def stream_active_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """Active jobs after the last batch of a stream of job events."""
+    from fathomline.storage import new_folder
+    from fathomline.streaming import jobs as stream
+
+    updates = stream.updates_of(P.job_events(stream.read_stream(spark, root, "events")), new_folder(spark, "active"))
+    shown = stream.active_snapshots(updates)
+    return shown.agg(F.max_by(F.struct("n_pending", "n_processing"), "batch").alias("r")).select("r.*")
+
+
+@query(sql("f", " SELECT tenant_id || '/' || id AS key, sha256(file_name || '!') AS digest FROM f WHERE tenant_id IS NOT NULL AND file_name IS NOT NULL AND file_size % 3 <> 0"))
+def object_store(spark: SparkSession, root: str) -> DataFrame:
+    """Objects put, put again, and some deleted: what is left, with links that hold."""
+    from fathomline.sources.sinks import ObjectStore, link, link_holds
+    from fathomline.storage import new_folder
+
+    f = P.files(spark, root).where(F.col("tenant_id").isNotNull() & F.col("file_name").isNotNull())
+    store = ObjectStore(spark, new_folder(spark, "objects"))
+    made = lambda c: f.select("tenant_id", "id", c.cast("binary").alias("bytes"), F.lit("text/plain").alias("content_type"))
+    store.put(made(F.col("file_name")))
+    store.put(made(F.concat("file_name", F.lit("!"))))
+    store.delete(f.where(F.coalesce(F.col("file_size") % 3 == 0, F.lit(True))))
+    until = F.timestamp_micros(F.lit(1767225600000000))
+    return store.get().where(link_holds(link(F.col("key"), until, F.lit("s")), _now(), F.lit("s"))).select("key", F.sha2("bytes", 256).alias("digest"))

@@ -10,7 +10,9 @@ from fathomline.sources.formats.plain import extract as decode
 
 WIDTH = 80
 _BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tr ul".split())
-_SILENT = {"script", "style", "head", "template", "noscript"}
+_SILENT = {"script", "style", "head", "title", "template", "noscript"}
+#: What may stand in a head; any other tag ends it, as its end tag may be left out.
+_IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title", "head", "html"}
 
 
 class _Text(HTMLParser):
@@ -40,6 +42,8 @@ class _Text(HTMLParser):
             self.lead = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent == ["head"] and tag not in _IN_HEAD:
+            self.silent.pop()
         if tag in _SILENT:
             self.silent.append(tag)
         if self.silent:
@@ -71,8 +75,8 @@ class _Text(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
+            if tag in self.silent:
+                del self.silent[self.silent.index(tag) :]
             return
         if tag in _BLOCKS:
             self.flush()

@@ -7,11 +7,10 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+from fathomline.functions.text import ENTITIES, MEDIA_TYPES, NO_NUMBER
 from fathomline.sources.formats.document import Asset, Document, ExtractionError, Page
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-# Media types by extension.
-TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "emf": "image/emf", "wmf": "image/wmf"}
 #: A package whose entry would unpack to more than this is refused.
 MOST_BYTES = 512 << 20
 
@@ -27,7 +26,7 @@ def package(data: bytes) -> zipfile.ZipFile:
 
 
 def content_type(name: str) -> str:
-    return TYPES.get(name.rpartition(".")[2].lower(), "application/octet-stream")
+    return MEDIA_TYPES.get(name.rpartition(".")[2].lower(), "application/octet-stream")
 
 
 def media(z: zipfile.ZipFile, folder: str) -> list[Asset]:
@@ -68,11 +67,11 @@ def word(data: bytes) -> Document:
 
 def slide_number(name: str) -> int:
     digits = re.fullmatch(r"(?:ppt/slides/slide)+\+?(\d+)(?:\.xml)+", name)
-    return int(digits[1]) if digits and int(digits[1]) <= 4294967295 else 4294967295
+    return int(digits[1]) if digits and int(digits[1]) <= NO_NUMBER else NO_NUMBER
 
 
 def unescape(text: str) -> str:
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+    for entity, char in ENTITIES:
         text = text.replace(entity, char)
     return text
 
