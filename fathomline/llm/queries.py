@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import boilerplate, knn, leakage, mixing, moderation, neardup, splitting, transcripts
 from fathomline.functions.keys import uuid_key
+from fathomline.llm import boilerplate, knn, leakage, mixing, moderation, neardup, splitting, transcripts
+from fathomline.llm.oracles import ORACLES as ORACLES
 from fathomline.storage import read
 
 
@@ -109,4 +110,3 @@ def p9_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_rates": p9_rates, "p1_found": p1_found, "p1_pieces": p1_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_text": p4_text, "p6_found": p6_found, "p7_found": p7_found, "p7_report": p7_report}
-ORACLES: dict[str, str] = {}

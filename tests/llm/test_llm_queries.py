@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from fathomline.llm import queries
@@ -25,3 +27,18 @@ def test_query(spark, small, name):
     if name in COLUMNS:
         assert dict(df.dtypes) == COLUMNS[name]
         assert len(rows) == len({tuple(r) for r in rows})
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_agrees_with_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for f in os.listdir(small):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{small}/{f}'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(columns) == sorted(got.columns)
+    rows = {tuple(r) for r in got.select(*columns).collect()}
+    assert rows == set(found.fetchall()) and rows
