@@ -1,12 +1,14 @@
 """States of jobs and files as folds over their events, status views, guards and sweeps.
 
-Events are folded per key in order of (time, id). Keys hold few events each by nature of jobs; a fold that must hold an
-unbounded number of events a key is the streaming form's (see streaming.jobs), which keeps a state instead of a list.
+Events are folded per key in order of (time, id), with a state of a few fields however many events a key has.
 Events with a null key, kind or time are left out. Steps that a state doesn't allow change nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,6 @@ START_PROGRESS, CANCELLED = 0.1, "Cancelled by user"
 #: Progress after each step of the work, by type of job.
 MILESTONES = {"file_processing": (0.2,), "url_extraction": (0.1, 0.3, 0.6), "youtube_extraction": (0.1, 0.3, 0.6)}
 
-_STATE = "struct<status:string,progress:double,started_at:timestamp,completed_at:timestamp,error:string>"
-
-
 def milestones(starts: DataFrame, pause_s: int = 1) -> DataFrame:
     """Progress events (key, id, at, kind, value, message) of the jobs that start: starts has (key, at, job_type).
 
@@ -33,29 +32,55 @@ def milestones(starts: DataFrame, pause_s: int = 1) -> DataFrame:
     return rows.select("key", F.col("n").cast("bigint").alias("id"), (F.col("at") + F.make_dt_interval(secs=F.col("n") * pause_s)).alias("at"), F.when(F.col("n") == 0, "start").otherwise("progress").alias("kind"), "value", F.lit(None).cast("string").alias("message"))
 
 
-def step(state: Column, event: Column) -> Column:
-    """The state after an event with kind, at, value and message."""
-    kind, status = event["kind"], state["status"]
-    same = lambda **new: F.struct(*(new.get(c, state[c]).alias(c) for c in ("status", "progress", "started_at", "completed_at", "error")))
-    none = F.lit(None).cast("string")
-    active = status.isin("pending", "processing")
-    return (
-        F.when((kind == "start") & (status == "pending"), same(status=F.lit("processing"), progress=F.lit(START_PROGRESS), started_at=event["at"], error=none))
-        .when((kind == "progress") & (status == "processing"), same(progress=F.greatest(F.lit(0.0), F.least(F.lit(1.0), event["value"])), error=event["message"]))
-        .when((kind == "complete") & (status == "processing"), same(status=F.lit("completed"), progress=F.lit(1.0), completed_at=event["at"], error=none))
-        .when((kind == "fail") & (status == "processing"), same(status=F.lit("failed"), completed_at=event["at"], error=event["message"]))
-        .when((kind == "cancel") & active, same(status=F.lit("failed"), completed_at=event["at"], error=F.lit(CANCELLED)))
-        .otherwise(state)
-    )
+def advanced(state: list, kind: str, at: object, value: float | None, message: str | None) -> list:
+    """The state [status, progress, started_at, completed_at, error, n_events] after an event. Steps that it doesn't allow change nothing but the number."""
+    status, progress, started, completed, error, n = state
+    if kind == "start" and status == "pending":
+        status, progress, started, error = "processing", START_PROGRESS, at, None
+    elif kind == "progress" and status == "processing":
+        progress, error = max(0.0, min(1.0, value)) if value is not None else progress, message
+    elif kind == "complete" and status == "processing":
+        status, progress, completed, error = "completed", 1.0, at, None
+    elif kind == "fail" and status == "processing":
+        status, completed, error = "failed", at, message
+    elif kind == "cancel" and status in ("pending", "processing"):
+        status, completed, error = "failed", at, CANCELLED
+    return [status, progress, started, completed, error, n + 1]
+
+
+def first_state() -> list:
+    return ["pending", 0.0, None, None, None, 0]
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(key, status, progress, started_at, completed_at, error, n_events) from events (key, id, at, kind, value, message)."""
+    """(key, status, progress, started_at, completed_at, error, n_events) from events (key, id, at, kind, value, message).
+
+    Events are sorted by key and time within partitions, which spills, and pass one by one: no key's events are held together.
+    """
     ok = events.where(F.col("key").isNotNull() & F.col("kind").isNotNull() & F.col("at").isNotNull())
-    listed = ok.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "kind", "value", "message"))).alias("events"))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0.0).alias("progress"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("error")).cast(_STATE)
-    state = F.aggregate("events", start, lambda s, e: step(s, e).cast(_STATE))
-    return listed.select("key", state.alias("s"), F.size("events").alias("n_events")).select("key", "s.*", "n_events")
+    columns = ("key", "kind", "at", "value", "message")
+    names = ["key", "status", "progress", "started_at", "completed_at", "error", "n_events"]
+    time = pa.timestamp("us", "UTC")
+    kinds = (pa.string(), pa.string(), pa.float64(), time, time, pa.string(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, first_state()
+        for batch in batches:
+            out = []
+            for k, kind, at, value, message in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if k != key:
+                    if key is not None:
+                        out.append((key, *state))
+                    key, state = k, first_state()
+                state = advanced(state, kind, at, value, message)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((key, *state), kinds, strict=True)], names)
+
+    rows = ok.select(F.col("key").cast("string").alias("key"), "at", "id", "kind", F.col("value").cast("double").alias("value"), "message")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "at", "id", "kind", "value", "message")
+    return ordered.select(*columns).mapInArrow(run, "key string, status string, progress double, started_at timestamp, completed_at timestamp, error string, n_events int")
 
 
 def view(jobs: DataFrame, now: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import text as T
+
 #: Ids up to this many are a list in the plan; more are joined.
 LISTED_IDS = 1000
 
@@ -69,7 +71,7 @@ def create_keys(keys: DataFrame, tenants: DataFrame, requests: DataFrame, now: C
     name = F.regexp_replace("name", r"(?U)^\s+|\s+$", "")
     good = requests.where(F.col("raw_key").isNotNull() & (F.length(name) > 0)).join(live, "tenant_id", "left_semi")
     digest = F.sha2(F.col("raw_key").cast("binary"), 256)
-    new = good.select(F.substring(digest, 1, 32).alias("id"), "tenant_id", digest.alias("key_hash"), F.substring("raw_key", 1, 16).alias("key_prefix"), name.alias("name"), F.lit(None).cast("timestamp").alias("last_used_at"), F.lit(None).cast("timestamp").alias("revoked_at"), now.alias("created_at"))
+    new = good.select(F.substring(digest, 1, 32).alias("id"), "tenant_id", digest.alias("key_hash"), T.key_prefix(F.col("raw_key")).alias("key_prefix"), name.alias("name"), F.lit(None).cast("timestamp").alias("last_used_at"), F.lit(None).cast("timestamp").alias("revoked_at"), now.alias("created_at"))
     new = new.dropDuplicates(["key_hash"]).join(keys.select("key_hash"), "key_hash", "left_anti").select(*new.columns)
     return new, new.select("id", "tenant_id", "name", "key_prefix", "created_at")
 

@@ -78,9 +78,9 @@ def chunk_words_capped(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH d AS (SELECT doc_id, len({_w('text')})::INT AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n AS n_words, n AS n_covered FROM d WHERE n > 0")
 def chunk_coverage(spark: SparkSession, root: str) -> DataFrame:
     """Words that the windows of a document cover: all of them, when no window is dropped."""
-    docs = spread(read(spark, root, "documents").select("doc_id", "text"))
-    rows = C.word_chunks(docs, C.ChunkConfig(200, 50, None, 0)).groupBy("doc_id", "text").agg(F.max(F.col("chunk_index") * 150 + F.col("token_count")).alias("n_covered"))
-    return rows.select("doc_id", T.word_count(T.sanitize(F.col("text"))).alias("n_words"), "n_covered")
+    docs = spread(read(spark, root, "documents").select("doc_id", "text")).withColumn("n_words", T.word_count(T.sanitize(F.col("text"))))
+    rows = C.word_chunks(docs, C.ChunkConfig(200, 50, None, 0)).groupBy("doc_id")  # ids are unique: no text is moved
+    return rows.agg(F.max("n_words").alias("n_words"), F.max(F.col("chunk_index") * 150 + F.col("token_count")).alias("n_covered"))
 
 
 @query(sql("c", f" SELECT id, len({_w('chunk_text')})::INT AS n_words, strlen(chunk_text)::INT AS n_bytes, length({_strip('chunk_text')}) = 0 AS is_empty, len({_w('chunk_text')}) >= 3 AS is_meaningful FROM c WHERE chunk_text IS NOT NULL"))

@@ -81,4 +81,4 @@ def transcripts(snippets: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("start", F.when(~T.is_empty(F.col("text")), line).alias("line"))))
     lines = F.filter(F.transform(listed, lambda x: x["line"]), lambda x: x.isNotNull())
     out = chosen.groupBy("video_id").agg(F.min("lang").alias("lang"), F.array_join(lines, "\n").alias("text"))
-    return out.select("video_id", "lang", F.when(F.length("text") > 0, F.col("text")).alias("text"), F.when(F.length("text") == 0, F.lit("no_transcript")).alias("error"))
+    return out.select("video_id", "lang", F.when(F.length("text") > 0, F.col("text")).alias("text"), F.when(F.length("text") == 0, S.transcript_error(F.lit("no_transcript_found"))).alias("error"))

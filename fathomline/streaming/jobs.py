@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathomline.functions import status as S
 from fathomline.operators.chunking import ChunkConfig, word_chunks
-from fathomline.operators.jobs import CANCELLED, START_PROGRESS, milestones
+from fathomline.operators.jobs import advanced, first_state, milestones
 from fathomline.sources.sinks import stable_id
 from fathomline.storage import children
 
@@ -24,29 +24,14 @@ _STATE = "status string, progress double, started_at timestamp, completed_at tim
 _OUT = f"key string, {_STATE}"
 
 
-def _advance(state: list, kind: str, at: pd.Timestamp, value: float | None, message: str | None) -> list:
-    status, progress, started, completed, error, n = state
-    if kind == "start" and status == "pending":
-        status, progress, started, error = "processing", START_PROGRESS, at, None
-    elif kind == "progress" and status == "processing":
-        progress, error = max(0.0, min(1.0, value)) if value is not None else progress, message
-    elif kind == "complete" and status == "processing":
-        status, progress, completed, error = "completed", 1.0, at, None
-    elif kind == "fail" and status == "processing":
-        status, completed, error = "failed", at, message
-    elif kind == "cancel" and status in ("pending", "processing"):
-        status, completed, error = "failed", at, CANCELLED
-    return [status, progress, started, completed, error, n + 1]
-
-
 def states(events: DataFrame) -> DataFrame:
     """A stream of (key, status, progress, started_at, completed_at, error, n_events) after each batch, from events (key, id, at, kind, value, message)."""
 
     def fold(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else ["pending", 0.0, None, None, None, 0]
+        held = list(state.get) if state.exists else first_state()
         rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")
         for r in rows.itertuples(index=False):
-            held = _advance(held, r.kind, r.at, None if pd.isna(r.value) else float(r.value), None if pd.isna(r.message) else r.message)
+            held = advanced(held, r.kind, r.at, None if pd.isna(r.value) else float(r.value), None if pd.isna(r.message) else r.message)
         held = [None if x is pd.NaT else x for x in held]
         state.update(tuple(held))
         frame = pd.DataFrame([[key[0], *held]], columns=["key", "status", "progress", "started_at", "completed_at", "error", "n_events"])
