@@ -132,6 +132,8 @@ _PASSAGES = re.compile(r"(?<=[.!?…])\s+|[\n\r\v\f\x1c-\x1e\x85  ]+|(?<=[\U
 _EMOJI = re.compile("[\U0001f300-\U0001faff☀-➿]")
 _SIGNS = str.maketrans(SIGNS)
 _WILD = str.maketrans(dict.fromkeys(WILD, "?"))
+_BESIDE = np.isin(np.arange(256), [ord(c) for c in "0123456789#*_$@+!-"])
+_BETWEEN = np.isin(np.arange(256), [ord(c) for c in "-. _*"])
 _PUNCTUATION = np.isin(np.arange(256), [ord(c) for c in ".,;:?-*#$@_"])
 _U = np.uint64
 #: Follows a restored word.
@@ -238,7 +240,29 @@ def folded(text: str) -> str:
 def restored(text: str) -> str:
     """A text in plain letters in small letters, disguised words spelled out with a mark behind each. Line feeds stay where they are."""
     low = text.lower().replace(_MARK, " ")
-    return _LONG.sub(_long, _MASKED.sub(_masked, _ODD.sub(_odd, _SPACED.sub(_spaced, low))))
+    codes = np.frombuffer(low.encode("latin-1", "replace"), np.uint8)
+    some = _suspicious(codes)
+    if not len(some):
+        return low
+    # only lines that hold what a disguise needs are searched for them
+    ends = np.append(np.flatnonzero(codes == 10), len(codes))
+    lines = low.split("\n")
+    for k in np.unique(np.searchsorted(ends, some)).tolist():
+        lines[k] = _LONG.sub(_long, _MASKED.sub(_masked, _ODD.sub(_odd, _SPACED.sub(_spaced, lines[k]))))
+    return "\n".join(lines)
+
+
+def _suspicious(codes: np.ndarray) -> np.ndarray:
+    """Places of a letter beside a sign or hyphen, of three single letters apart, or of a letter three times in a row."""
+    letter = (codes >= 97) & (codes <= 122)
+    if len(codes) < 3:
+        return np.flatnonzero(letter)
+    sign = _BESIDE[codes]
+    found = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    found[:-1] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+    apart = letter[:-2] & _BETWEEN[codes[1:-1]] & letter[2:]
+    found[: len(apart) - 2] |= apart[:-2] & apart[2:]
+    return np.flatnonzero(found)
 
 
 def passages(text: str) -> list[str]:
@@ -467,16 +491,14 @@ class Tree:
     right: list[int]
     value: list[float]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        feature, cut = np.array(self.feature), np.array(self.cut)
-        left, right = np.array(self.left), np.array(self.right)
-        for _ in range(DEPTH):
-            f = feature[at]
-            inner = f >= 0
-            go = x[np.arange(len(x)), np.maximum(f, 0)] <= cut[at]
-            at = np.where(inner, np.where(go, left[at], right[at]), at)
-        return np.array(self.value)[at]
+    def predict(self, columns: np.ndarray) -> np.ndarray:
+        """The value for each row; columns: one row a feature, so that a cut compares numbers that lie side by side."""
+
+        def of(k: int) -> np.ndarray | float:
+            f = self.feature[k]
+            return self.value[k] if f < 0 else np.where(columns[f] <= self.cut[k], of(self.left[k]), of(self.right[k]))
+
+        return np.broadcast_to(of(0), columns.shape[1:])
 
 
 def grow(x: np.ndarray, order: np.ndarray, gradient: np.ndarray, weight: np.ndarray, columns: np.ndarray, rising: np.ndarray, rows_in: np.ndarray) -> Tree:
@@ -519,16 +541,25 @@ def boost(x: np.ndarray, y: np.ndarray, rising: list[int] | None = None) -> tupl
     start = float(np.log(mean / (1 - mean)))
     score, trees = np.full(len(y), start), []
     order = np.argsort(x, 0, kind="stable").T
+    across = np.ascontiguousarray(x.T)
     draw = np.random.default_rng(0)
     n = max(1, int(np.ceil(x.shape[1] * COLUMN_SHARE)))
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         columns = np.sort(draw.choice(x.shape[1], n, replace=False))
         trees.append(grow(x, order, y - p, p * (1 - p), columns, np.array(rising or [], np.int64), draw.random(len(y)) < ROW_SHARE))
-        score += RATE * trees[-1].predict(x)
+        score += RATE * trees[-1].predict(across)
     return start, trees
 
 
+def summed_up(start: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    across = np.ascontiguousarray(x.T)
+    out = np.full(len(x), start)
+    for t in trees:
+        out += RATE * t.predict(across)
+    return out
+
+
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: scores and the rising probabilities at them."""
     order = np.argsort(scores, kind="stable")
@@ -556,7 +587,7 @@ class Model:
     held_out: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.start + RATE * sum(t.predict(x) for t in self.trees)
+        return summed_up(self.start, self.trees, x)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, self.xs, self.ps)
@@ -642,7 +673,7 @@ def train(texts: list[str], labels: list[bool]) -> Model:
             rest = used[fold[of[used]] != k]
             first, trees = boost(x[rest], target[rest], RISING)
             inside = fold[of] == k
-            outside[inside] = first + RATE * sum(t.predict(x[inside]) for t in trees)
+            outside[inside] = summed_up(first, trees, x[inside])
         sure = outside
         text_score = np.full(len(texts), -np.inf)
         np.maximum.at(text_score, owner[of], outside)

@@ -110,7 +110,7 @@ def test_trees_fit():
     x = rng.random((300, 4))
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.7)).astype(float)
     start, trees = M.boost(x, y)
-    score = start + M.RATE * sum(t.predict(x) for t in trees)
+    score = M.summed_up(start, trees, x)
     assert ((score > 0) == (y > 0)).mean() > 0.96
 
 
@@ -121,4 +121,14 @@ def test_rising_features_never_lower_a_score(model):
     high[:, M.RISING] += rng.random((50, len(M.RISING))).astype(np.float32) * 3
     for t in model.trees:
         if all(f in (-1, *M.RISING) for f in t.feature) and len(t.feature) <= 3:
-            assert (t.predict(high) >= t.predict(low) - 1e-9).all()
+            assert (t.predict(high.T) >= t.predict(low.T) - 1e-9).all()
+
+
+def test_only_lines_without_disguise_are_passed_over():
+    rng = np.random.default_rng(4)
+    pieces = ["a", "b", "idiot", "m0ron", "i.d.i.o.t", "m o r o n", "su-human", "idiooot", "$", "!", "-", " ", " ", "\n", ".", "9", "wort*less", "x_y", "#"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces, 12))
+        whole = M._LONG.sub(M._long, M._MASKED.sub(M._masked, M._ODD.sub(M._odd, M._SPACED.sub(M._spaced, text))))
+        assert M.restored(text) == "\n".join(M._LONG.sub(M._long, M._MASKED.sub(M._masked, M._ODD.sub(M._odd, M._SPACED.sub(M._spaced, x)))) for x in text.split("\n"))
+        assert "\n" in text or M.restored(text) == whole
