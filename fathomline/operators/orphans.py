@@ -20,6 +20,7 @@ and never 'late'. Empty tables give empty results; other columns of the inputs a
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.keys import is_blank, uuid_key
 from fathomline.operators.skew import left_join
-from fathomline.storage import children, remove, stage
+from fathomline.storage import children, read_text, remove, stage, write_text
 
 
 @dataclass(frozen=True)
@@ -106,15 +107,15 @@ class OrphanStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
         self.spark, self.path = spark, path
-        done = [int(x) for x in children(spark, f"{path}/manifest") if x.isdigit() and "_SUCCESS" in children(spark, f"{path}/manifest/{x}")]
+        done = [int(x) for x in children(spark, f"{path}/manifest") if x.isdigit()]
         self.last = max(done, default=-1)
         #: The delta that wrote each bucket last.
         self.versions: dict[tuple[str, int], int] = {}
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if done:
-            rows = spark.read.parquet(f"{path}/manifest/{self.last}").collect()  # at most 3 x buckets rows
-            self.versions = {(r["table"], r["bucket"]): r["version"] for r in rows if r["table"] != ""}
-            self.buckets = next(r["bucket"] for r in rows if r["table"] == "")
+            said = json.loads(read_text(spark, f"{path}/manifest/{self.last}"))  # at most 3 x buckets numbers
+            self.versions = {(t, b): v for t, b, v in said["versions"]}
+            self.buckets = said["buckets"]
 
     def bucket(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
@@ -187,8 +188,7 @@ class OrphanStore:
             self._write(number, "references", probe(waiting, index).withColumn("bucket", self.key_bucket()), touched, written)
 
         self.versions |= written
-        manifest = [(t, b, v) for (t, b), v in self.versions.items()] + [("", self.buckets, number)]
-        self.spark.createDataFrame(manifest, "table string, bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+        write_text(self.spark, f"{self.path}/manifest/{number}", json.dumps({"buckets": self.buckets, "versions": [(t, b, v) for (t, b), v in sorted(self.versions.items())]}))
         self.last = number
 
     def vacuum(self) -> None:

@@ -65,7 +65,8 @@ def _found(spark: SparkSession, root: str, *tables: str) -> list[DataFrame]:
     """50 hits, and the tables, all of the query's tenant."""
     e = P.raw_embeddings(spark, root)
     vector, tenant = _asked(e)
-    return [R.similarity_search(e, vector, 50, None, tenant), *(scope(read(spark, root, t), tenant) for t in tables)]
+    read_ = {"file_assets": P.raw_assets(spark, root)}
+    return [R.similarity_search(e, vector, 50, None, tenant), *(scope(read_[t] if t in read_ else read(spark, root, t), tenant) for t in tables)]
 
 
 @query(sql("e", f"{_Q} SELECT id, content_chunk_id, {_R.format('similarity')} AS similarity FROM s ORDER BY s.similarity DESC, id LIMIT 10"))
@@ -121,7 +122,7 @@ _GROUPED = f"{_Q}, h AS (SELECT *, row_number() OVER (ORDER BY similarity DESC,
 @query(sql("cefa", f"{_GROUPED} SELECT row_number() OVER (ORDER BY first)::INT AS position, g.file_id, file_name, n_matches, round(best::FLOAT::DOUBLE, 5) AS best_similarity, chunks, coalesce(n_assets, 0) AS n_assets FROM g LEFT JOIN (SELECT file_id, count(*) AS n_assets FROM a, q WHERE a.tenant_id = q.t GROUP BY file_id) x ON x.file_id = g.file_id"))
 def search_grouped_documents(spark: SparkSession, root: str) -> DataFrame:
     """Search, hits joined with chunks, files and assets, grouped by document in order of the first hit."""
-    d = R.hydrate_and_group(*_found(spark, root, "content_chunks", "files"), scope(P.raw_assets(spark, root), _asked(P.raw_embeddings(spark, root))[1]))
+    d = R.hydrate_and_group(*_found(spark, root, "content_chunks", "files", "file_assets"))
     return d.select("position", "file_id", "file_name", "n_matches", _shown("best_similarity").alias("best_similarity"), F.array_join(F.transform("matches", lambda m: m["content_chunk_id"]), ",").alias("chunks"), F.coalesce(F.size("assets"), F.lit(0)).cast("bigint").alias("n_assets"))
 
 
